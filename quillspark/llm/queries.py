@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import boundaries, containers, mixture, unify
+from . import boundaries, containers, mixture, pairs, unify
 
 
 def p2_plain(spark: SparkSession, folder: str) -> DataFrame:
@@ -24,6 +24,13 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return p2_plain(spark, folder).where(F.col("plain_form") != F.col("value")).select("in_table", "row_id", "in_column").distinct()
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    code = F.lower(F.trim("lang"))
+    labelled = table(spark, folder, "documents").select("text", F.when(code.isin("vi", "vie"), "vi").when(code == "en", "en").alias("lang"))
+    model = pairs.train_languages(labelled)
+    return pairs.defects(table(spark, folder, "government_qna_items"), model, key="qna_id", question="question_text", answer="answer_text", version="updated_at")
+
+
 def _limit(spark: SparkSession, folder: str, purpose: str) -> tuple[int, int]:
     row = table(spark, folder, "token_limits").where(F.col("purpose") == purpose).agg(F.max("max_tokens"), F.max("overlap_tokens")).first()
     return int(row[0]), int(row[1] or 0)
@@ -62,6 +69,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p2_plain": p2_plain,
+    "p4_found": p4_found,
     "p7_containers": p7_containers,
     "p7_fill": p7_fill,
     "p8_mixture": p8_mixture,
