@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import boundaries, containers, mixture, pairs, unify
+from . import boundaries, citations, containers, mixture, pairs, unify
 
 
 def p2_plain(spark: SparkSession, folder: str) -> DataFrame:
@@ -31,6 +31,14 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.defects(table(spark, folder, "government_qna_items"), model, key="qna_id", question="question_text", answer="answer_text", version="updated_at")
 
 
+def p5_matches(spark: SparkSession, folder: str) -> DataFrame:
+    return citations.match_citations(table(spark, folder, "government_qna_citations"), table(spark, folder, "legal_documents"))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p5_matches(spark, folder).select("citation_id", "document_id")
+
+
 def _limit(spark: SparkSession, folder: str, purpose: str) -> tuple[int, int]:
     row = table(spark, folder, "token_limits").where(F.col("purpose") == purpose).agg(F.max("max_tokens"), F.max("overlap_tokens")).first()
     return int(row[0]), int(row[1] or 0)
@@ -70,6 +78,8 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_plain": p2_plain,
     "p4_found": p4_found,
+    "p5_found": p5_found,
+    "p5_matches": p5_matches,
     "p7_containers": p7_containers,
     "p7_fill": p7_fill,
     "p8_mixture": p8_mixture,
