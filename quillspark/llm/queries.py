@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import boundaries, citations, containers, mixture, pairs, unify
+from . import boundaries, citations, containers, mixture, near_copies, pairs, unify
 
 
 def p2_plain(spark: SparkSession, folder: str) -> DataFrame:
@@ -24,6 +24,20 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return p2_plain(spark, folder).where(F.col("plain_form") != F.col("value")).select("in_table", "row_id", "in_column").distinct()
 
 
+def _copies(spark: SparkSession, folder: str) -> near_copies.NearCopies:
+    texts = table(spark, folder, "legal_document_contents").select("document_id", "content_text")
+    heads = table(spark, folder, "legal_documents").select(F.col("id").alias("document_id"), "title")
+    return near_copies.near_copies(texts, heads, key="document_id", text="content_text", words=3, similarity=0.7, least_words=50)
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _copies(spark, folder).pairs().distinct()
+
+
+def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return _copies(spark, folder).groups()
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     code = F.lower(F.trim("lang"))
     labelled = table(spark, folder, "documents").select("text", F.when(code.isin("vi", "vie"), "vi").when(code == "en", "en").alias("lang"))
@@ -77,6 +91,8 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p2_plain": p2_plain,
+    "p3_found": p3_found,
+    "p3_groups": p3_groups,
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_matches": p5_matches,
