@@ -27,12 +27,12 @@ BINS = 256
 TABLES = 10
 BITS = 23
 RADIUS, SLACK = 3, 1
-#: Bits of 64 in which the sketches of texts that meet may differ: at similarity 0.7 about 10, with a deviation of 3.
-MOST_APART = 18
-#: Documents in the exact comparison up to which their ids are sent to all; beyond, the ids are joined by shuffle.
+#: Bits of 128 in which the sketches of texts that meet may differ: at similarity 0.7 about 19 with a deviation of 4, or 7 for the shortest texts.
+MOST_APART = 36
+#: Ids up to which a list of them is sent to all; a longer one is joined by shuffle.
 SENT_IDS = 1_000_000
 _CHUNK_BYTES = 8_000_000
-_EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
+_EMPTY = np.uint32(0xFFFFFFFF)
 
 
 # ---------------------------------------------------------------- word sequences
@@ -78,7 +78,7 @@ def _hashed(words: list[bytes], known: _WordHash) -> np.ndarray:
 
 
 def _least(bins: np.ndarray, row: int | np.ndarray, hashes: np.ndarray) -> None:
-    np.minimum.at(bins, row * BINS + (hashes >> np.uint64(56)).astype(np.int64), hashes & np.uint64(0x00FFFFFFFFFFFFFF))
+    np.minimum.at(bins, row * BINS + (hashes >> np.uint64(56)).astype(np.int64), ((hashes >> np.uint64(16)) & np.uint64(0xFFFFFFFF)).astype(np.uint32))
 
 
 # ---------------------------------------------------------------- sketches
@@ -133,7 +133,7 @@ def _densified(bins: np.ndarray) -> np.ndarray:
         step += 1
         pick = (_mix(open_.astype(np.uint64) * _ODD[2] + np.array([step], dtype=np.uint64) * _ODD[3]) % np.uint64(BINS)).astype(np.int64)
         good = filled[pick]
-        bins[open_[good]] = _mix(full[pick[good]])
+        bins[open_[good]] = full[pick[good]]
         open_ = open_[~good]
     return bins
 
@@ -159,17 +159,17 @@ def syndromes(words: np.ndarray, generator: int = 0b101011100011) -> np.ndarray:
 
 
 def anchor_rows(bins: np.ndarray, tables=None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of sketches (rows of ``bins``): keys at their homes, keys at all anchors in reach with the row of each, and 64 bits to compare by.
+    """Of sketches (rows of ``bins``): keys at their homes, keys at all anchors in reach with the row of each, and 128 bits to compare by.
 
     A key is the table, the anchor and 16 bits of one more sketch value.
     """
     home_error, errors, starts, counts = tables or golay_tables()
-    bits = (bins & np.uint64(1)).astype(np.int64)
+    bits = (bins & np.uint32(1)).astype(np.int64)
     homes, reach, owners = [], [], []
     for t in range(TABLES):
         first = t * (BITS + 1)
         word = (bits[:, first : first + BITS] << np.arange(BITS)).sum(axis=1)
-        value = ((bins[:, first + BITS] >> np.uint64(8)) & np.uint64(0xFFFF)).astype(np.int64)
+        value = ((bins[:, first + BITS] >> np.uint32(8)) & np.uint32(0xFFFF)).astype(np.int64)
         s = syndromes(word)
         homes.append((t << 40) | ((word ^ home_error[s]) << 16) | value)
         n = counts[s]
@@ -177,26 +177,25 @@ def anchor_rows(bins: np.ndarray, tables=None) -> tuple[np.ndarray, np.ndarray,
         place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         reach.append((t << 40) | ((word[row] ^ errors[starts[s][row] + place]) << 16) | value[row])
         owners.append(row)
-    apart = (bins[:, -64:] >> np.uint64(1)) & np.uint64(1)
-    signature = (apart << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).astype(np.int64)
+    apart = ((bins[:, -128:] >> np.uint32(1)) & np.uint32(1)).astype(np.uint64).reshape(-1, 2, 64)
+    signature = (apart << np.arange(64, dtype=np.uint64)).sum(axis=2, dtype=np.uint64).astype(np.int64)
     return np.stack(homes, axis=1), np.concatenate(reach), np.concatenate(owners), signature
 
 
-def _anchored(n: int):
+def _anchored(n: int, at_home: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, tables = _WordHash(), golay_tables()
         for b in batches:
             for at in range(0, len(b), 500):
                 lot = b.iloc[at : at + 500]
-                bins = np.frombuffer(b"".join(lot["least"]), dtype=np.uint64).reshape(-1, BINS).copy()
+                bins = np.frombuffer(b"".join(lot["least"]), dtype=np.uint32).reshape(-1, BINS).copy()
                 for i, (head, ends) in enumerate(zip(lot["_head"], lot["ends"])):
                     joint = np.concatenate([_hashed(words_of(head or ""), known), np.asarray(ends, dtype=np.int64).astype(np.uint64)])
                     _least(bins[i], 0, sequence_hashes(joint, n))
                     bins[i] = _densified(bins[i])
                 homes, reach, owners, signature = anchor_rows(bins, tables)
-                row = np.concatenate([np.repeat(np.arange(len(bins)), TABLES), owners])
-                ids = lot["_id"].to_numpy()
-                yield pd.DataFrame({"key": np.concatenate([homes.ravel(), reach]), "home": np.arange(len(row)) < homes.size, "_id": ids[row], "signature": signature[row]})
+                row = np.repeat(np.arange(len(bins)), TABLES) if at_home else owners
+                yield pd.DataFrame({"key": homes.ravel() if at_home else reach, "_id": lot["_id"].to_numpy()[row], "s0": signature[row, 0], "s1": signature[row, 1]})
 
     return run
 
@@ -280,6 +279,11 @@ def _sets(n: int):
     return run
 
 
+def _sent(ids: DataFrame) -> DataFrame:
+    """Ids to be sent to all if there are at most SENT_IDS, else to be joined as Spark sees fit."""
+    return F.broadcast(ids) if ids.count() <= SENT_IDS else ids
+
+
 def near_copies(texts: DataFrame, heads: DataFrame | None, *, key: str, text: str, head: str = "title", words: int = 5, similarity: float = 0.8, least_words: int = 0) -> NearCopies:
     """Find the texts whose sets of word sequences are alike.
 
@@ -305,18 +309,20 @@ def near_copies(texts: DataFrame, heads: DataFrame | None, *, key: str, text: st
         one = one.withColumn("_head", F.lit(None).cast("string"))
     head_words = F.xxhash64(F.array_compact(F.transform(F.split(F.lower(F.coalesce("_head", F.lit(""))), r"[ \t\n\x0B\f\r]+"), lambda w: F.when(w != "", w))))
     sketched = cut(one.withColumn("_hw", head_words))
-    classes = sketched.groupBy("n_words", "same", "_hw").agg(F.min("_id").alias("class_id"))
-    members = sketched.select("_id", "n_words", "same", "_hw").join(classes, ["n_words", "same", "_hw"]).select(F.col("_id").alias(key), "class_id")
-    chosen = sketched.join(classes.select(F.col("class_id").alias("_id")), "_id", "left_semi")
-    rows_at = chosen.select("_id", "ends", "least", "_head").mapInPandas(_anchored(words), f"key long, home boolean, _id {kind}, signature long")
-    rows_at = cut(rows_at)
-    home = rows_at.where("home").select("key", F.col("_id").alias("_x"), F.col("signature").alias("_sx"))
-    near = rows_at.where("not home").select("key", F.col("_id").alias("_y"), F.col("signature").alias("_sy"))
-    met = home.join(near, "key").where((F.col("_x") != F.col("_y")) & (F.bit_count(F.col("_sx").bitwiseXOR(F.col("_sy"))) <= MOST_APART))
+    same = ["n_words", "same", "_hw"]
+    classes = sketched.groupBy(*same).agg(F.min("_id").alias("class_id"))
+    members = sketched.select("_id", *same).join(classes, same).select(F.col("_id").alias(key), "class_id")
+    copies = cut(members.where(F.col(key) != F.col("class_id")).select(F.col(key).alias("_id")))
+    chosen = sketched.select("_id", "ends", "least", "_head").join(_sent(copies), "_id", "left_anti")
+
+    def at_anchors(at_home: bool, a: str) -> DataFrame:
+        rows = chosen.mapInPandas(_anchored(words, at_home), f"key long, _id {kind}, s0 long, s1 long")
+        return rows.select("key", F.col("_id").alias(f"_{a}"), F.col("s0").alias(f"_{a}0"), F.col("s1").alias(f"_{a}1"))
+
+    apart = sum((F.bit_count(F.col(f"_x{i}").bitwiseXOR(F.col(f"_y{i}"))) for i in (0, 1)), F.lit(0))
+    met = at_anchors(True, "x").join(at_anchors(False, "y"), "key").where((F.col("_x") != F.col("_y")) & (apart <= MOST_APART))
     pairs = cut(met.select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b")).distinct())
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
-    if ids.count() <= SENT_IDS:
-        ids = F.broadcast(ids)
+    ids = _sent(cut(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()))
     full = rows.select("_id", "_text").join(ids, "_id", "left_semi").groupBy("_id").agg(F.max("_text").alias("_text"))
     if heads is not None:
         full = full.join(names, "_id", "left").select("_id", F.concat(F.coalesce("_head", F.lit("")), F.lit("\n"), "_text").alias("_text"))
