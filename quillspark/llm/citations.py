@@ -196,14 +196,16 @@ def _applied(rule: Rule, cites: DataFrame, docs: DataFrame) -> DataFrame:
         right = right.where(c)
     if rule.numbers == "no code":  # the code is what differs or is missing
         left = left.where("serial is not null")
-    right = right.select("did", *rule.on, *(F.col(c).alias(f"d_{c}") for c in ("serial", "code", "body", "day", "words")))
+    right_all = right.select("did", *(F.col(c).alias(f"d_{c}") for c in ("serial", "code", "body", "day", "words")))
     on = list(rule.on)
     if rule.blocked:
+        # the wide columns join the few pairs that share a rare word, not the rows for each word
         titled = left.where(F.size("words") >= 4)
-        left = titled.join(_prefix(titled, docs, rule.title), "cid")
-        right = right.withColumn("word", F.explode("d_words"))
-        on = [*on, "word"]
-    pairs = left.join(right, on)
+        asked = titled.select("cid", *on).join(_prefix(titled, docs, rule.title), "cid")
+        held = right.select("did", *on, F.explode("words").alias("word")).join(asked.select("word").distinct(), "word", "left_semi")
+        pairs = asked.join(held, [*on, "word"]).select("cid", "did").distinct().join(titled, "cid").join(right_all, "did")
+    else:
+        pairs = left.join(right.select("did", *on), on).join(right_all, "did")
     shared = F.size(F.array_intersect("words", "d_words")) / F.size("words")
     score = F.when(F.size("words") >= 4, shared)
     met = pairs.withColumn("_score", score).where((F.col("_score") >= rule.title) | (F.col("_score").isNull() & F.lit(not rule.blocked)))

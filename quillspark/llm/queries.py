@@ -6,7 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import boundaries, citations, containers, mixture, near_copies, pairs, unify
+from . import boundaries, citations, containers, mixture, near_copies, pairs, scans, unify
+
+
+def _scans(spark: SparkSession, folder: str) -> scans.Scans:
+    return scans.Scans(table(spark, folder, "legal_document_contents"), "document_id", "content_text")
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _scans(spark, folder).noise()
+
+
+def p1_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    return _scans(spark, folder).repaired()
 
 
 def p2_plain(spark: SparkSession, folder: str) -> DataFrame:
@@ -89,6 +101,8 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_repaired": p1_repaired,
     "p2_found": p2_found,
     "p2_plain": p2_plain,
     "p3_found": p3_found,
