@@ -247,7 +247,7 @@ def match_citations(citations: DataFrame, documents: DataFrame) -> DataFrame:
         # labelled records stay in every pass: they measure the rule, not its place in the order
         hits = cut(_applied(rule, rest.unionByName(labelled), docs))
         found.append(hits)
-        rest = rest.join(hits.select("cid"), "cid", "left_anti")
+        rest = cut(rest.join(hits.select("cid"), "cid", "left_anti"))  # else each plan holds those of all passes before
     hits = found[0]
     for x in found[1:]:
         hits = hits.unionByName(x)
