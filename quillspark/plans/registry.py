@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import orphans
+from . import orphans, profiles, retrieval, search, texts
 
-MODULES = [orphans]
-FLAGSHIP = "p6_found"
+MODULES = [retrieval, search, texts, profiles, orphans]
+FLAGSHIP = "bm25_topk"
 
 
 def queries() -> dict:
