@@ -146,7 +146,9 @@ def plain_forms(values: DataFrame, key: list[str], value: str, vocabulary: DataF
     (rows with equal keys and values are treated alike).  Other columns are
     dropped, so their names don't matter.
     """
-    rows = values.select(*key, value)
+    names = [f"_k{i}" for i in range(len(key))]
+    rows = values.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(key, names)], F.col(f"`{value}`").alias("_value"))
+    wanted, key_names, key, value = value, key, names, "_value"
     odd = F.col(value).rlike(MAYBE)
     if vocabulary is None:
         vocabulary = rows.where(~odd).select(F.explode(words_of(F.col(value))).alias("word"))
@@ -165,4 +167,5 @@ def plain_forms(values: DataFrame, key: list[str], value: str, vocabulary: DataF
         *key, value,
         F.array_join(F.transform(F.split("_plain", " ", -1), lambda t, i: F.coalesce(F.try_element_at("_fix", i), t)), " ").alias("plain_form"),
     )
-    return clean.unionByName(simple).unionByName(fixed)
+    out = clean.unionByName(simple).unionByName(fixed)
+    return out.select(*[F.col(n).alias(c) for c, n in zip(key_names, names)], F.col("_value").alias(wanted), "plain_form")
