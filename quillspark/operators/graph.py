@@ -32,8 +32,8 @@ def relation_summary(edges: DataFrame, source: str, label: str) -> DataFrame:
     """``<source>, summary``: "label: n; ..." by falling count, then label."""
     per = edges.groupBy(source, label).agg(F.count(F.lit(1)).alias("n"))
     # labels are few per node: the list is over labels, not edges
-    packed = per.groupBy(source).agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), F.col(label).alias("l")))).alias("s"))
-    return packed.select(source, F.array_join(F.transform("s", lambda x: F.concat(x.l, F.lit(": "), (-x.m).cast("string"))), "; ").alias("summary"))
+    packed = per.groupBy(source).agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), F.col(label).alias("l")))).alias("_labels"))
+    return packed.select(source, F.array_join(F.transform("_labels", lambda x: F.concat(x.l, F.lit(": "), (-x.m).cast("string"))), "; ").alias("summary"))
 
 
 def first_related(edges: DataFrame, source: str, order: list[str], k: int = 16) -> DataFrame:
