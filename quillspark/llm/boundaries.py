@@ -104,8 +104,9 @@ def pieces_of(text: str, limit: int, overlap: int) -> list[tuple[int, int, int,
     while i < n:
         begin = begins[i]
         back = 0
-        if begin and overlap:
-            tail = text[max(0, begin - overlap) : begin].encode()[-overlap:]
+        most = min(overlap, limit - size[i])  # a character may be larger than the room beside the overlap
+        if begin and most > 0:
+            tail = text[max(0, begin - most) : begin].encode()[-most:]
             back = len(tail.decode("utf-8", "ignore")) if tail else 0
         out.append((begin, ends[i], back, before))
         before = KINDS[kinds[i]] if kinds[i] >= 0 else "end"
@@ -135,7 +136,8 @@ def split_oversized(texts: DataFrame, limit: int, overlap: int, key: str = "doc_
     bytes), the kind of boundary it starts at, its size and its text.  Texts
     within the limit, empty and null texts give no rows.  Rows with the same
     key are cut each on its own.  A limit not above the overlap is refused;
-    a limit below one character puts single characters in pieces.  Work per
+    a limit below one character puts single characters in pieces, and where a
+    character leaves no room for the overlap, less is repeated.  Work per
     text is O(n log n), in memory for that text alone.
     """
     if overlap < 0 or limit <= overlap:

@@ -331,7 +331,7 @@ def near_copies(texts: DataFrame, heads: DataFrame | None, *, key: str, text: st
         pairs.join(sets.select(F.col("_id").alias("a"), F.col("_set").alias("_sa")), "a")
         .join(sets.select(F.col("_id").alias("b"), F.col("_set").alias("_sb")), "b")
         .withColumn("_n", F.size(F.array_intersect("_sa", "_sb")))
-        .select("a", "b", (F.col("_n") / (F.size("_sa") + F.size("_sb") - F.col("_n"))).alias("similarity"))
+        .select("a", "b", F.try_divide("_n", F.size("_sa") + F.size("_sb") - F.col("_n")).alias("similarity"))
     )
     links = compared.where(F.col("similarity") >= similarity).select(F.col("a").alias("class_a"), F.col("b").alias("class_b"), "similarity")
     return NearCopies(members, links, key)

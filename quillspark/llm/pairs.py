@@ -260,5 +260,5 @@ def _judged(rows: DataFrame, languages: Languages) -> DataFrame:
     joined = read_rows.join(ends, F.col("_key").eqNullSafe(F.col("_end_of")), "left")
     other = F.col("_p.q_lang").isNotNull() & F.col("_p.a_lang").isNotNull() & (F.col("_p.q_lang") != F.col("_p.a_lang"))
     closing = F.regexp_extract(_visible(F.col("a")), r"(?:^|[.!?…]\s|\n)\s*([^.!?…\n]*)\s*$", 1)
-    cut_off = _open_list(F.col("a")) | ~name_words(closing).rlike(CLOSINGS) & (F.col("likelihood") < END_LIKELIHOOD) | (F.col("word_likelihood") < WORD_END_LIKELIHOOD)
+    cut_off = _open_list(F.col("a")) | ~name_words(closing).rlike(CLOSINGS) & ((F.col("likelihood") < END_LIKELIHOOD) | (F.col("word_likelihood") < WORD_END_LIKELIHOOD))
     return joined.withColumn("defect", F.coalesce("_early", F.when(F.col("_p.refusal"), "refusal").when(other, "other_language").when(cut_off, "truncated")))
