@@ -4,7 +4,7 @@ Each text becomes a min-wise sketch of its word sequences.  Bits of the sketch
 make words of 23 bits, and the binary Golay code is the set of anchors: every
 word has one anchor within the covering radius 3, its home, and is copied to
 all anchors within radius 3 + 1.  Texts meet at the home of either one, if the
-key's sketch value agrees too; meetings that the rest of the sketch makes
+key's sketch values agree too; meetings that the rest of the sketch makes
 unlikely are dropped, and all others are compared exactly, word sequence by
 word sequence.  Texts with equal words are one class and are compared once.
 """
@@ -24,8 +24,10 @@ from pyspark.sql import types as T
 from ..session import cut
 
 BINS = 256
-TABLES = 10
+TABLES = 22
 BITS = 23
+#: Sketch values in a key beside its anchor: each cuts the meetings of unlike texts to a tenth or less.
+VALUES = 2
 RADIUS, SLACK = 3, 1
 #: Bits of 128 in which the sketches of texts that meet may differ: at similarity 0.7 about 19 with a deviation of 4, or 7 for the shortest texts.
 MOST_APART = 36
@@ -161,23 +163,26 @@ def syndromes(words: np.ndarray, generator: int = 0b101011100011) -> np.ndarray:
 def anchor_rows(bins: np.ndarray, tables=None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of sketches (rows of ``bins``): keys at their homes, keys at all anchors in reach with the row of each, and 128 bits to compare by.
 
-    A key is the table, the anchor and 16 bits of one more sketch value.
+    A key is the table, the anchor and 16 bits of each of VALUES more sketch values.
     """
     home_error, errors, starts, counts = tables or golay_tables()
-    bits = (bins & np.uint32(1)).astype(np.int64)
     homes, reach, owners = [], [], []
     for t in range(TABLES):
-        first = t * (BITS + 1)
-        word = (bits[:, first : first + BITS] << np.arange(BITS)).sum(axis=1)
-        value = ((bins[:, first + BITS] >> np.uint32(8)) & np.uint32(0xFFFF)).astype(np.int64)
+        use = t * (BITS + VALUES) + np.arange(BITS + VALUES)
+        # bins serve more than one table, each time with another bit
+        bit = (bins[:, use[:BITS] % BINS] >> (use[:BITS] // BINS).astype(np.uint32)) & np.uint32(1)
+        word = (bit.astype(np.int64) << np.arange(BITS)).sum(axis=1)
+        value = np.zeros(len(bins), dtype=np.int64)
+        for b in use[BITS:] % BINS:
+            value = (value << 16) | ((bins[:, b] >> np.uint32(8)) & np.uint32(0xFFFF)).astype(np.int64)
         s = syndromes(word)
-        homes.append((t << 40) | ((word ^ home_error[s]) << 16) | value)
+        homes.append((t << 55) | ((word ^ home_error[s]) << 32) | value)
         n = counts[s]
         row = np.repeat(np.arange(len(bins)), n)
         place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        reach.append((t << 40) | ((word[row] ^ errors[starts[s][row] + place]) << 16) | value[row])
+        reach.append((t << 55) | ((word[row] ^ errors[starts[s][row] + place]) << 32) | value[row])
         owners.append(row)
-    apart = ((bins[:, -128:] >> np.uint32(1)) & np.uint32(1)).astype(np.uint64).reshape(-1, 2, 64)
+    apart = ((bins[:, -128:] >> np.uint32(4)) & np.uint32(1)).astype(np.uint64).reshape(-1, 2, 64)
     signature = (apart << np.arange(64, dtype=np.uint64)).sum(axis=2, dtype=np.uint64).astype(np.int64)
     return np.stack(homes, axis=1), np.concatenate(reach), np.concatenate(owners), signature
 
