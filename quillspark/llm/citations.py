@@ -238,11 +238,16 @@ def match_citations(citations: DataFrame, documents: DataFrame) -> DataFrame:
     """
     told = F.struct(F.col("matched_document_id").isNull().alias("open"), "matched_document_id", "raw_text", "document_number", "document_title")
     once = citations.where("citation_id is not null").groupBy(F.col("citation_id").alias("cid")).agg(F.min(told).alias("r")).select("cid", "r.*")
-    cites = cut(_parsed(once, parse_citation, ["raw_text", "document_number", "document_title"]).select("cid", F.col("matched_document_id").alias("label"), "serial", "year", "code", "body", "day", "kind", "words"))
+    same = ["serial", "year", "code", "body", "day", "kind", "words"]
+    alike = F.sha2(F.to_json(F.struct(*same)), 256).alias("_alike")
+    cites = cut(_parsed(once, parse_citation, ["raw_text", "document_number", "document_title"]).select("cid", F.col("matched_document_id").alias("label"), alike, *same))
     attributes = F.struct("document_number", "title", "issuing_authority", "issued_date", "document_type")
     latest = documents.where("id is not null").groupBy(F.col("id").alias("did")).agg(F.max_by(attributes, F.struct(F.coalesce("updated_at", F.lit("0001-01-01").cast("timestamp")), F.coalesce("title", F.lit("")))).alias("r")).select("did", "r.*")
-    docs = cut(_parsed(latest, parse_document, ["document_number", "title", "issuing_authority", "issued_date", "document_type"]).select("did", "serial", "year", "code", "body", "day", "kind", "words"))
-    labelled, rest, found = cites.where("label is not null"), cites.where("label is null"), []
+    docs = cut(_parsed(latest, parse_document, ["document_number", "title", "issuing_authority", "issued_date", "document_type"]).groupBy(*same).agg(F.min("did").alias("did")).select("did", *same))
+    # of records alike in all attributes one is matched, so that many copies don't make many pairs
+    labelled, rest, found = cites.where("label is not null").select("cid", *same), None, []
+    asked = cites.where("label is null").groupBy("_alike").agg(F.min(F.struct("cid", *same)).alias("r"))
+    rest = cut(asked.select("r.*"))
     for rule in RULES:
         # labelled records stay in every pass: they measure the rule, not its place in the order
         hits = cut(_applied(rule, rest.unionByName(labelled), docs))
@@ -251,7 +256,8 @@ def match_citations(citations: DataFrame, documents: DataFrame) -> DataFrame:
     hits = found[0]
     for x in found[1:]:
         hits = hits.unionByName(x)
-    judged = hits.join(labelled.select("cid", "label"), "cid", "left")
+    judged = hits.join(cites.select("cid", "label", "_alike"), "cid")
     # as many rows as there are rules
     worth = judged.groupBy("rule").agg(((F.count(F.when(F.col("label") == F.col("did"), 1)) + 1) / (F.count("label") + 2)).alias("confidence"))
-    return judged.where("label is null").join(F.broadcast(worth), "rule").select(F.col("cid").alias("citation_id"), F.col("did").alias("document_id"), "rule", "confidence")
+    matched = judged.where("label is null").join(F.broadcast(worth), "rule").select("_alike", "did", "rule", "confidence")
+    return cites.where("label is null").select("cid", "_alike").join(matched, "_alike").select(F.col("cid").alias("citation_id"), F.col("did").alias("document_id"), "rule", "confidence")
