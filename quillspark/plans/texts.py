@@ -104,8 +104,19 @@ def answer_citations(spark, folder):
 
 
 def answer_checks(spark, folder):
-    items = table(spark, folder, "government_qna_items").groupBy("qna_id").agg(F.max("answer_text").alias("answer_text"), F.max("question_text").alias("question_text"))
-    return items.select("qna_id", F.array_join(citations.answer_errors(F.col("answer_text"), F.array("question_text")), "; ").alias("errors"))
+    """The latest answer of each item against the documents its citations are matched with."""
+    items = relational.latest(table(spark, folder, "government_qna_items").select("qna_id", "answer_text", "updated_at"), ["qna_id"], [F.col("updated_at")])
+    cited = table(spark, folder, "government_qna_citations").where("matched_document_id is not null").select("qna_id", F.col("matched_document_id").alias("document_id")).distinct()
+    ids = cited.select("document_id").distinct()
+    docs = relational.latest(table(spark, folder, "legal_documents").select(F.col("id").alias("document_id"), "title", F.col("document_type").alias("kind"), F.col("document_number").alias("number"), "updated_at"), ["document_id"], [F.col("updated_at")]).drop("updated_at")
+    # the references of each text are folded before they meet the answers
+    refs = lambda t: [c.references(t, k).alias(f"{k}s") for k in ("article", "clause", "point")]
+    texts = table(spark, folder, "legal_document_contents").join(ids, "document_id", "left_semi").select("document_id", "updated_at", *refs(F.col("content_text")))
+    texts = relational.latest(texts, ["document_id"], [F.col("updated_at")]).drop("updated_at")
+    heads = docs.join(ids, "document_id", "left_semi").withColumns({f"_{k}": c.references(F.concat_ws(" ", "title", "number"), k) for k in ("article", "clause", "point")})
+    held = heads.join(texts, "document_id", "full")
+    held = held.select("document_id", "title", "kind", "number", *[F.array_union(F.coalesce(f"{k}s", F.array().cast("array<string>")), F.coalesce(f"_{k}", F.array().cast("array<string>"))).alias(f"{k}s") for k in ("article", "clause", "point")])
+    return citations.verify_answers(items, cited, held, "qna_id", "answer_text", "document_id")
 
 
 def citation_readiness(spark, folder):
