@@ -12,8 +12,14 @@ from ..sources.tables import table
 K = 10
 
 
+#: Weights of the fields in the index.
+WEIGHTS = {"title": 2.0, "document_number": 4.0, "content_text": 1.0}
+
+
 def _docs(spark, folder):
-    return table(spark, folder, "legal_documents").groupBy("id").agg(F.min("title").alias("title"), F.min("document_number").alias("document_number"))
+    docs = table(spark, folder, "legal_documents").groupBy("id").agg(F.min("title").alias("title"), F.min("document_number").alias("document_number"))
+    texts = table(spark, folder, "legal_document_contents").groupBy(F.col("document_id").alias("id")).agg(F.max("content_text").alias("content_text"))
+    return docs.join(texts, "id", "left")
 
 
 def _questions(spark, folder):
@@ -21,7 +27,7 @@ def _questions(spark, folder):
 
 
 def _scores(spark, folder):
-    index = cut(retrieval.postings(_docs(spark, folder), "id", {"title": 2.0, "document_number": 4.0}))
+    index = cut(retrieval.postings(_docs(spark, folder), "id", WEIGHTS))
     return retrieval.bm25(index, _questions(spark, folder), "id", "citation_id", "raw_text").withColumn("score", F.round("score", 6)).where("score > 0")
 
 
@@ -38,9 +44,13 @@ def bm25_topk(spark, folder):
 
 
 def _overlap(spark, folder):
-    """Words of title (3 each) and number (1 each) that the question shares, by a join on the words."""
-    docs = _docs(spark, folder)
-    words = docs.select("id", F.explode(F.array_distinct(retrieval.tokens(F.col("title")))).alias("term"), F.lit(3.0).alias("w")).unionByName(docs.select("id", F.explode(F.array_distinct(retrieval.tokens(F.col("document_number")))).alias("term"), F.lit(1.0).alias("w")))
+    """Words of the text (3 each) and of title and number (1 each) that the question shares, by a join on the words."""
+
+    def weighted(text, w):
+        return F.transform(F.array_distinct(retrieval.tokens(text)), lambda t: F.struct(t.alias("term"), F.lit(w).alias("w")))
+
+    parts = [weighted(F.col("content_text"), 3.0), weighted(F.concat_ws(" ", "title", "document_number"), 1.0)]
+    words = _docs(spark, folder).select("id", F.explode(F.concat(*parts)).alias("t")).select("id", "t.term", "t.w")
     asked = _questions(spark, folder).select("citation_id", F.explode(F.array_distinct(retrieval.tokens(F.col("raw_text")))).alias("term"))
     return words.join(asked, "term").groupBy("citation_id", "id").agg(F.sum("w").alias("score"))
 
