@@ -101,3 +101,25 @@ def runs(rows: DataFrame, by: list[str], order: list[Column], begins: Column) ->
     """Adds ``run``: the number of the stretch of rows (per ``by``) that starts where ``begins`` holds."""
     w = Window.partitionBy(*by).orderBy(*order)
     return rows.withColumn("run", F.sum(F.coalesce(begins.cast("int"), F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def id_runs(rows: DataFrame, key: str, lot: int = 1000) -> DataFrame:
+    """``first_id, last_id, n``: the stretches of different ids that follow each other without a gap.
+
+    Runs are found within lots of ids; a run whose first id follows the last
+    one of another run goes on with it.  The start of each is the greatest
+    start so far, within lot x lot ids by a window and before them by the
+    greatest start of all earlier ones, so the one window over all has a row
+    for lot x lot ids.
+    """
+    ids = rows.select(F.col(key).alias("id")).distinct().withColumn("_lot", F.floor(F.col("id") / lot))
+    stretch = F.col("id") - F.row_number().over(Window.partitionBy("_lot").orderBy("id"))
+    parts = ids.withColumn("_g", stretch).groupBy("_lot", "_g").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.count(F.lit(1)).alias("n"))
+    ends = parts.where(F.pmod(F.col("last_id") + 1, F.lit(lot)) == 0).select((F.col("last_id") + 1).alias("first_id"), F.lit(True).alias("_goes_on"))
+    marked = parts.join(ends, "first_id", "left").withColumn("_start", F.when(F.col("_goes_on").isNull(), F.col("first_id"))).withColumn("_far", F.floor(F.col("_lot") / lot))
+    upto = Window.partitionBy("_far").orderBy("first_id").rowsBetween(Window.unboundedPreceding, 0)
+    marked = marked.withColumn("_near", F.max("_start").over(upto))
+    before = Window.orderBy("_far").rowsBetween(Window.unboundedPreceding, -1)
+    carried = marked.groupBy("_far").agg(F.max("_start").alias("_m")).select("_far", F.max("_m").over(before).alias("_carried"))
+    runs_of = marked.join(carried, "_far", "left").groupBy(F.coalesce("_near", "_carried").alias("_run"))
+    return runs_of.agg(F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id"), F.sum("n").alias("n")).drop("_run")

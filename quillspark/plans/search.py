@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import blank_to_null, clean_scalar, first_filled, identifier
@@ -110,11 +109,8 @@ def filled_fields(spark, folder):
 
 
 def crawl_gaps(spark, folder):
-    """Stretches of ids that follow each other without a gap, by thousands of ids: one window per thousand."""
-    ids = table(spark, folder, "legal_documents").select("id").distinct().withColumn("lot", F.floor(F.col("id") / 1000))
-    begins = F.col("id") - F.lag("id").over(Window.partitionBy("lot").orderBy("id")) != 1
-    numbered = relational.runs(ids.withColumn("_b", begins), ["lot"], [F.col("id")], F.col("_b"))
-    return numbered.groupBy("lot", "run").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.count(F.lit(1)).alias("n")).select("first_id", "last_id", "n")
+    """Stretches of ids that follow each other without a gap, over all ids."""
+    return relational.id_runs(table(spark, folder, "legal_documents"), "id")
 
 
 QUERIES = {f.__name__: f for f in (doc_search_page, doc_facets, ids_missing_extra, doc_upsert, edges_replaced, citation_resolve, citation_item_status, duplicate_identity, units_union, doc_detail, quality_issues, bad_documents, filled_fields, crawl_gaps)}
