@@ -66,10 +66,19 @@ def orders_as_of(spark, folder):
 
 
 def events_per_hour(spark, folder):
-    """Events per hour with the change to the hour before and the mean rate since the first."""
+    """Events per hour with the change to the hour before and the mean rate since the first.
+
+    Windows see the hours of one day; what went before comes from the one row of each day.
+    """
     hours = table(spark, folder, "events").where("ts is not null").groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(F.count(F.lit(1)).alias("n")).withColumn("day", F.to_date("hour"))
+    days = hours.groupBy("day").agg(F.max_by("n", "hour").alias("_end"), F.sum("n").alias("_n"), F.count(F.lit(1)).alias("_hours"))
+    by_day = Window.orderBy("day")
+    earlier = by_day.rowsBetween(Window.unboundedPreceding, -1)
+    before = days.select("day", F.lag("_end").over(by_day).alias("_last"), *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in ("_n", "_hours")])
     w = Window.partitionBy("day").orderBy("hour")
-    return hours.select("hour", "n", (F.col("n") - F.lag("n").over(w)).alias("change"), F.round(F.avg("n").over(w.rowsBetween(Window.unboundedPreceding, 0)), 6).alias("rate"))
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    rate = (F.col("_n") + F.sum("n").over(upto)) / (F.col("_hours") + F.count(F.lit(1)).over(upto))
+    return hours.join(before, "day").select("hour", "n", (F.col("n") - F.coalesce(F.lag("n").over(w), "_last")).alias("change"), F.round(rate, 6).alias("rate"))
 
 
 STATUS = {"view": "PENDING", "click": "INDEXING", "purchase": "INDEXED", "error": "FAILED"}
