@@ -163,15 +163,19 @@ def _ngram(words: Column, end: Column, n: int) -> Column:
 def end_likelihood(answers: DataFrame, key: str, text: str) -> DataFrame:
     """``<key>, likelihood, word_likelihood``: for each text without a closing sign, how likely a sentence ends after its last words.
 
-    The last three words are looked up in all texts, the text's own end left
-    out; if they are seen fewer than LEAST_SEEN times, two words, then one.
+    The last three words are looked up in all different texts, the text itself
+    left out at its end; if they are seen fewer than LEAST_SEEN times, two
+    words, then one.  Texts with the same words count once, however many rows
+    hold them: copies of an answer that breaks off don't prove an end.
     Words that are seen nowhere else have likelihood 0.  n-grams are counted
     with partial aggregation and only where some text ends in them.
     """
-    words = answers.select(F.col(key), _ending_words(F.col(text)).alias("w"))
+    same = ["_h1", "_h2"]
+    rows = answers.select(F.col(key), _ending_words(F.col(text)).alias("w")).withColumns({"_h1": F.xxhash64("w"), "_h2": F.hash("w")})
+    words = rows.groupBy(*same).agg(F.first("w").alias("w"))
     open_ends = words.where((F.size("w") > 0) & (F.element_at("w", -1) != "|"))
     grams = lambda at: [F.struct(F.lit(n).alias("n"), _ngram(F.col("w"), at, n).alias("g")) for n in (1, 2, 3)]
-    wanted = open_ends.select(key, F.explode(F.array(*grams(F.size("w")))).alias("_g")).select(key, "_g.n", "_g.g").where("g is not null")
+    wanted = open_ends.select(*same, F.explode(F.array(*grams(F.size("w")))).alias("_g")).select(*same, "_g.n", "_g.g").where("g is not null")
     keys = wanted.select("g").distinct()
     places = words.select("w", F.posexplode("w").alias("i", "last")).where("last <> '|'").withColumn("end", F.col("i") + 1)
     followed = (F.col("end") >= F.size("w")) | (F.try_element_at("w", F.col("end") + 1) == "|")
@@ -181,13 +185,14 @@ def end_likelihood(answers: DataFrame, key: str, text: str) -> DataFrame:
     # ends without a closing sign count for whole phrases only: a word cut off is cut off in many texts
     met = wanted.join(seen, "g").withColumn("seen", F.col("seen") - 1).withColumn("any_end", F.col("ends") - 1)
     met = met.withColumn("ended", F.when(F.col("n") == 3, F.col("any_end")).otherwise(F.col("ends") - F.col("bare")))
-    best = met.groupBy(key).agg(
+    best = met.groupBy(*same).agg(
         F.max(F.when(F.col("seen") >= LEAST_SEEN, F.struct("n", "seen", "ended"))).alias("b"),
         F.max(F.when((F.col("n") == 1) & (F.col("seen") > 0), F.struct("seen", "any_end"))).alias("w"),
         F.max((F.col("n") == 1) & (F.col("g") == "9")).alias("number"),
     )
     share = F.coalesce(F.col("b.ended") / F.col("b.seen"), F.lit(0.0))
-    return best.select(key, share.alias("likelihood"), F.coalesce(F.when(F.col("number"), 1.0), F.col("w.any_end") / F.col("w.seen"), F.lit(0.0)).alias("word_likelihood"))
+    judged = best.select(*same, share.alias("likelihood"), F.coalesce(F.when(F.col("number"), 1.0), F.col("w.any_end") / F.col("w.seen"), F.lit(0.0)).alias("word_likelihood"))
+    return rows.select(key, *same).join(judged, same).drop(*same)
 
 
 # ---------------------------------------------------------------- defects
