@@ -53,8 +53,9 @@ def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     code = F.lower(F.trim("lang"))
     labelled = table(spark, folder, "documents").select("text", F.when(code.isin("vi", "vie"), "vi").when(code == "en", "en").alias("lang"))
-    model = pairs.train_languages(labelled)
-    return pairs.defects(table(spark, folder, "government_qna_items"), model, key="qna_id", question="question_text", answer="answer_text", version="updated_at")
+    items = table(spark, folder, "government_qna_items")
+    model = pairs.train_languages(labelled, items.select(F.explode(F.array("question_text", "answer_text")).alias("text")))
+    return pairs.defects(items, model, key="qna_id", question="question_text", answer="answer_text", version="updated_at")
 
 
 def p5_matches(spark: SparkSession, folder: str) -> DataFrame:

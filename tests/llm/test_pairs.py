@@ -53,3 +53,69 @@ def test_empty(spark, model):
 
 def test_long_text(spark, model):
     assert judged(spark, model, [(1, Q, VI * 2000, "1")]) == {}
+
+
+def sound_answers(spark, folder, n):
+    rows = spark.read.parquet(f"{folder}/government_qna_items.parquet").where("length(question_text) > 30 and length(answer_text) > 420 and question_text like '%?' and answer_text like '%.' and not answer_text rlike '(?i)contractor|office|exploitant'")
+    return [(r.question_text, r.answer_text) for r in rows.select("question_text", "answer_text").distinct().orderBy("answer_text").limit(n).collect()]
+
+
+# families of declining answers written for these tests; none is a phrase of the library
+DECLINING = [
+    ["Bộ phận tiếp dân không thể giải đáp thắc mắc của bà con qua thư.", "Bộ phận tiếp dân xã Gò Sen không thể giải đáp thắc mắc của bà con qua thư."],
+    ["Rất tiếc, yêu cầu này ngoài khả năng tư vấn của chúng tôi.", "RẤT TIẾC, YÊU CẦU NÀY NGOÀI KHẢ NĂNG TƯ VẤN CỦA CHÚNG TÔI."],
+    ["Câu hỏi của bạn thiếu dữ kiện, ban biên tập chưa trả lời được.", "Cau hoi cua ban thieu du kien, ban bien tap chua tra loi duoc."],
+    ["Chuyên mục xin không đưa ra ý kiến đối với vụ việc đang tranh chấp.", "Chuyên mục xin không đưa ra ý kiến đối với vụ việc đang tranh chấp. Mong ông (bà) thông cảm."],
+    ["Cơ quan không có thông tin nào về điều bạn hỏi.", "Cảm ơn bạn. Cơ quan không có thông tin nào về điều bạn hỏi."],
+]
+SHORT_SOUND = ["Có.", "Không.", "Không bắt buộc.", "45 ngày.", "Được, nếu còn hạn.", "Nộp tại UBND xã Bến Đò.", "Chưa phải nộp."]
+
+
+def test_declining_families(spark, medium):
+    """Families that the fit saw are found and short sound answers are not declining; of unseen families few are found."""
+    content = [a for _, a in sound_answers(spark, medium, 200)]
+    seen = unseen = 0
+    for i in range(len(DECLINING)):
+        known = [t for j, f in enumerate(DECLINING) if j != i for t in f]
+        model = pairs.train_declines(spark.createDataFrame([(t,) for t in content + known + SHORT_SOUND], "a string"), "a")
+        seen += sum(map(model.answers_nothing, known))
+        unseen += sum(map(model.answers_nothing, DECLINING[i]))
+        assert not any(map(model.answers_nothing, content + SHORT_SOUND))
+    assert seen == 8 * len(DECLINING)
+    assert unseen >= 1  # most families that the fit never saw are missed
+
+
+def test_recall_of_each_defect(spark, model, medium):
+    """Defects planted in sound answers: recall of each kind, and nothing else found."""
+    rows, want = [], {}
+    sound = sound_answers(spark, medium, 250)
+    tongues = ["The receiving office shall keep the record of the water supply near the port. The applicant must update the file each year.", "Chaque exploitant doit transmettre le registre des entrepôts dans un délai de douze jours ouvrables.", "申请人应当在6个工作日内提交材料。主管部门负责审核并公布结果。"]
+    for i, (q, a) in enumerate(sound):
+        kind = ("empty", "copy", "refusal", "other_language", "truncated", None, None, None)[i % 8]
+        if kind == "empty":
+            a = ("", None, "...", "N/A", "<br/>")[i % 5]
+        elif kind == "copy":
+            a = ("Trả lời: " + q, q.upper(), pairs._bare(q))[i % 3]
+        elif kind == "refusal":
+            a = DECLINING[i % 5][i % 2]
+        elif kind == "other_language":
+            a = tongues[i % 3]
+        elif kind == "truncated":
+            words = a.split()
+            a = " ".join(words[: -4 - i % 5]) + " " + words[-4 - i % 5][:2] + ("" if i % 2 else "…")
+        rows.append((i, q, a, "1"))
+        if kind:
+            want[i] = kind
+    got = judged(spark, model, rows)
+    for kind in set(want.values()):
+        mine = [i for i, k in want.items() if k == kind]
+        assert sum(got.get(i) == kind for i in mine) >= 0.95 * len(mine), (kind, [(rows[i][2], got.get(i)) for i in mine if got.get(i) != kind])
+    wrong = [i for i in got if i not in want]
+    assert len(wrong) <= 0.02 * len(rows), [(rows[i], got[i]) for i in wrong]
+
+
+def test_short_answers_in_their_language(spark, model):
+    plain = ["Câu hỏi chưa rõ, mời bổ sung.", "Xin ghi nhận.", "Có.", "30 ngày.", "Nộp tại xã.", "OK"]
+    assert all(model.differ(Q, a) < pairs.DIFFER for a in plain)
+    assert model.differ(Q, "The applicant must update the file.") > pairs.DIFFER
+    assert model.differ(Q, "主管部门负责审核并公布结果。") > pairs.DIFFER
