@@ -87,18 +87,22 @@ def references(text: Column, kind: str) -> Column:
     return F.array_distinct(F.transform(found, lambda x: identifier(x) if kind == "number" else F.lower(x)))
 
 
-def reference_boost(query: Column, number: Column, text: Column) -> Column:
-    """3.0 if a number of the query is the document's, 1.5 if the text names it; 2.5, 1.5, 1.0 for article, clause, point in the text."""
-    low = F.lower(F.coalesce(text, F.lit("")))
+# What a named number, article, clause or point is worth.
+BOOSTS = {"number": 3.0, "number in text": 1.5, "article": 2.5, "clause": 1.5, "point": 1.0}
+
+
+def reference_boost(query: Column, number: Column, text: Column, *others: Column) -> Column:
+    """What the query names of a document: its number, the number in its texts, and article, clause or point in them (``text`` and the ``others``, as the title or path); each counts once."""
+    low = F.lower(F.concat_ws("\n", text, *others, number))
     numbers = references(query, "number")
-    total = F.when(F.exists(numbers, lambda n: n == identifier(F.coalesce(number, F.lit("")))), 3.0).otherwise(0.0)
-    total += F.when(F.exists(numbers, lambda n: F.contains(low, F.lower(n))), 1.5).otherwise(0.0)
+    total = F.when(F.exists(numbers, lambda n: n == identifier(F.coalesce(number, F.lit("")))), BOOSTS["number"]).otherwise(0.0)
+    total += F.when(F.exists(numbers, lambda n: F.contains(low, F.lower(n))), BOOSTS["number in text"]).otherwise(0.0)
 
     def named(word: str):
         return lambda n: F.contains(low, F.concat(F.lit(word), n))
 
-    for kind, word, worth in (("article", "điều ", 2.5), ("clause", "khoản ", 1.5), ("point", "điểm ", 1.0)):
-        total += F.when(F.exists(references(query, kind), named(word)), worth).otherwise(0.0)
+    for kind, word in (("article", "điều "), ("clause", "khoản "), ("point", "điểm ")):
+        total += F.when(F.exists(references(query, kind), named(word)), BOOSTS[kind]).otherwise(0.0)
     return total
 
 

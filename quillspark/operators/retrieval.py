@@ -10,9 +10,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
+# What counts as a word of the index, and the constants of BM25.
 TOKEN = r"[0-9a-zA-ZÀ-ỹĐđ/.-]+"
 K1, B = 1.5, 0.75
 
+#: Terms of each query that give the first lower bound of its k-th score.
+FIRST_TERMS = 3
+#: What is added to bounds, as sums of doubles depend on their order.
+MARGIN = 1e-5
+
 
 def tokens(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({TOKEN})"), F.lit(1)), F.lower)
@@ -28,11 +36,14 @@ def postings(documents: DataFrame, key: str, fields: dict[str, float]) -> DataFr
     return documents.select(key, F.explode(F.concat(*parts)).alias("t")).groupBy(key, "t.term").agg(F.sum("t.w").alias("tf"))
 
 
-def bm25(index: DataFrame, queries: DataFrame, key: str, query_key: str, query_text: str) -> DataFrame:
-    """``<query_key>, <key>, score`` of every document that holds a term of the query.
+def bm25_top_k(index: DataFrame, queries: DataFrame, key: str, query_key: str, query_text: str, k: int) -> DataFrame:
+    """``<query_key>, <key>, score, rank``: the k best documents of each query by BM25 (scores to 6 places, ties by key).
 
-    Document lengths and frequencies come from the whole index.  The terms of
-    the queries are pushed to the postings by a semi-join before scoring.
+    Document lengths and frequencies come from the whole index.  Only documents
+    that may be among the first k are scored in full: the terms of greatest
+    weight give a lower bound of the k-th score; terms that together stay below
+    it lift no document over it alone, so their postings are met by key, for
+    documents that the other terms leave within reach.  The result is exact.
     """
     lengths = index.groupBy(key).agg(F.sum("tf").alias("len"))
     whole = lengths.agg(F.count(F.lit(1)).alias("docs"), F.greatest(F.avg("len"), F.lit(1.0)).alias("avg_len"))  # one row
@@ -41,8 +52,23 @@ def bm25(index: DataFrame, queries: DataFrame, key: str, query_key: str, query_t
     df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n, avg_len = (whole.first() or (0, 1.0))[:2]
     idf = F.log1p((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("qf") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(float(avg_len or 1.0))))
-    return held.join(df, "term").join(lengths, key).join(asked, "term").groupBy(query_key, key).agg(F.sum(part).alias("score"))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(float(avg_len or 1.0))))
+    weighted = cut(held.join(df, "term").join(lengths, key).select(key, "term", part.alias("w")))
+    most = weighted.groupBy("term").agg(F.max("w").alias("most"))
+    terms = cut(asked.join(most, "term").withColumn("bound", F.col("qf") * F.col("most")))
+    of_query = Window.partitionBy(query_key)
+    first = terms.withColumn("_n", F.row_number().over(of_query.orderBy(F.desc("bound"), "term"))).where(F.col("_n") <= FIRST_TERMS)
+    partial = first.join(weighted, "term").groupBy(query_key, key).agg(F.sum(F.col("qf") * F.col("w")).alias("score"))
+    least = top_k(partial, [query_key], [F.desc("score")], k).where(F.col("rank") == k).select(query_key, F.col("score").alias("least"))
+    upto = F.sum("bound").over(of_query.orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, 0))
+    split = cut(terms.join(least, query_key, "left").withColumn("least", F.coalesce("least", F.lit(0.0))).withColumn("light", upto + MARGIN < F.col("least")))
+    light = split.where("light").select(query_key, "term", "qf")
+    reach = split.groupBy(query_key).agg(F.sum(F.when(F.col("light"), F.col("bound")).otherwise(0.0)).alias("more"), F.max("least").alias("least"))
+    heavy = split.where("not light").select(query_key, "term", "qf").join(weighted, "term").groupBy(query_key, key).agg(F.sum(F.col("qf") * F.col("w")).alias("s"))
+    near = cut(heavy.join(reach, query_key).where(F.col("s") + F.col("more") + MARGIN >= F.col("least")).select(query_key, key, "s"))
+    rest = near.select(query_key, key).join(light, query_key).join(weighted, [key, "term"]).select(query_key, key, (F.col("qf") * F.col("w")).alias("s"))
+    scored = near.unionByName(rest).groupBy(query_key, key).agg(F.round(F.sum("s"), 6).alias("score")).where("score > 0")
+    return top_k(scored, [query_key], [F.desc("score"), F.col(key)], k)
 
 
 def top_k(scored: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
@@ -100,7 +126,7 @@ def min_max(score: Column, by: list[str]) -> Column:
 
 
 def fuse(dense: DataFrame, lexical: DataFrame, query_key: str, key: str, weights: tuple[float, float] = (0.6, 0.4)) -> DataFrame:
-    """``<query_key>, <key>, dense, lexical, score``: full outer join of two hit lists on their normalised scores."""
+    """``<query_key>, <key>, dense, lexical, score``: full outer join of two hit lists on their normalised scores; a boost is added to the score after."""
     d = dense.select(query_key, key, min_max(F.col("score"), [query_key]).alias("dense"))
     x = lexical.select(query_key, key, min_max(F.col("score"), [query_key]).alias("lexical"))
     both = d.join(x, [query_key, key], "full_outer").na.fill(0.0, ["dense", "lexical"])

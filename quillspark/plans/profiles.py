@@ -127,7 +127,7 @@ SELECT document_id, nth, related_document_id, title FROM n LEFT JOIN t ON t.id =
     "order_versions": f"WITH {_V} SELECT o_custkey, o_orderkey, valid_from, valid_to, superseded_by IS NULL AS is_current, superseded_by FROM c",
     "orders_as_of": f"WITH {_V} SELECT o_custkey, o_orderkey FROM c WHERE valid_from <= TIMESTAMP '1998-01-01' AND (valid_to IS NULL OR valid_to > TIMESTAMP '1998-01-01')",
     "events_per_hour": """WITH h AS (SELECT date_trunc('hour', ts) AS hour, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1)
-SELECT hour, n, n - lag(n) OVER w AS change, round(avg(n) OVER (PARTITION BY CAST(hour AS DATE) ORDER BY hour ROWS UNBOUNDED PRECEDING), 6) AS rate FROM h WINDOW w AS (PARTITION BY CAST(hour AS DATE) ORDER BY hour)""",
+SELECT hour, n, n - lag(n) OVER (ORDER BY hour) AS change, round(avg(n) OVER (ORDER BY hour ROWS UNBOUNDED PRECEDING), 6) AS rate FROM h""",
     "stream_status": """WITH s AS (SELECT user_id, ts, CASE event_type """ + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in STATUS.items()) + """ END AS status, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS nth FROM events WHERE ts IS NOT NULL AND event_type IN ('view', 'click', 'purchase', 'error'))
 SELECT user_id, status, ts AS since, CASE WHEN status = 'INDEXED' THEN ts END AS indexed_at FROM s WHERE nth = 1""",
     "stream_dead_letters": "SELECT event_id, event_type FROM events WHERE ts IS NULL OR event_type IS NULL OR event_type NOT IN ('view', 'click', 'purchase', 'error')",

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import blank_to_null, identifier
+from ..functions.columns import blank_to_null, identifier, reference_boost
 from ..operators import relational, retrieval
 from ..session import cut
-from ..sources.tables import table
+from ..sources.tables import latest_texts, table
 
 K = 10
 
@@ -18,25 +18,20 @@ WEIGHTS = {"title": 2.0, "document_number": 4.0, "content_text": 1.0}
 
 def _docs(spark, folder):
     docs = table(spark, folder, "legal_documents").groupBy("id").agg(F.min("title").alias("title"), F.min("document_number").alias("document_number"))
-    texts = table(spark, folder, "legal_document_contents").groupBy(F.col("document_id").alias("id")).agg(F.max("content_text").alias("content_text"))
-    return docs.join(texts, "id", "left")
+    return docs.join(latest_texts(spark, folder).withColumnRenamed("document_id", "id"), "id", "left")
 
 
 def _questions(spark, folder):
     return table(spark, folder, "government_qna_citations").where("citation_id % 20 = 0").groupBy("citation_id").agg(F.min("raw_text").alias("raw_text"))
 
 
-def _scores(spark, folder):
-    index = cut(retrieval.postings(_docs(spark, folder), "id", WEIGHTS))
-    return retrieval.bm25(index, _questions(spark, folder), "id", "citation_id", "raw_text").withColumn("score", F.round("score", 6)).where("score > 0")
-
-
 def _order():
     return [F.desc("score"), F.col("id")]
 
 
 def _ranked(spark, folder, k=50):
-    return retrieval.top_k(_scores(spark, folder), ["citation_id"], _order(), k)
+    index = cut(retrieval.postings(_docs(spark, folder), "id", WEIGHTS))
+    return retrieval.bm25_top_k(index, _questions(spark, folder), "id", "citation_id", "raw_text", k)
 
 
 def bm25_topk(spark, folder):
@@ -66,6 +61,24 @@ def hybrid_fusion(spark, folder):
     return retrieval.top_k(fused, ["citation_id"], _order(), K)
 
 
+def hybrid_boosted(spark, folder):
+    """The fused lists with the boost of what a question names: its score counts for the documents found, whose texts alone are read for it."""
+    a = _ranked(spark, folder)
+    b = retrieval.top_k(_overlap(spark, folder), ["citation_id"], _order(), 50)
+    met = cut(retrieval.fuse(b, a, "citation_id", "id").select("citation_id", "id", "score"))
+    docs = _docs(spark, folder).join(F.broadcast(met.select("id").distinct()), "id", "left_semi") if met.count() < 1_000_000 else _docs(spark, folder)
+    boost = reference_boost(F.col("raw_text"), F.col("document_number"), F.col("content_text"), F.col("title"))
+    boosted = met.join(docs, "id").join(_questions(spark, folder), "citation_id").select("citation_id", "id", F.round(F.col("score") + boost, 6).alias("score"))
+    return retrieval.top_k(boosted, ["citation_id"], _order(), K)
+
+
+def dense_filtered(spark, folder):
+    """Nearest vectors among those of even labels only: the filter comes before the search."""
+    rows = table(spark, folder, "embeddings")
+    kept = rows.where("label % 2 = 0").select("vec_id", "embedding")
+    return retrieval.dense_top_k(kept, rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), "vec_id", "embedding", "query_id", K)
+
+
 def dense_topk(spark, folder):
     rows = table(spark, folder, "embeddings")
     return retrieval.dense_top_k(rows.select("vec_id", "embedding"), rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), "vec_id", "embedding", "query_id", K)
@@ -114,13 +127,15 @@ def best_hits(spark, folder):
     return retrieval.best_per_key(_ranked(spark, folder, K).select("id", "citation_id", "score"), ["id"], "score").select("id", "score")
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, term_overlap_topk, hybrid_fusion, dense_topk, dense_diversified, pinned_hits, valid_hits, eval_metrics, training_triples, order_neighbours, best_hits)}
+QUERIES = {f.__name__: f for f in (bm25_topk, term_overlap_topk, hybrid_fusion, hybrid_boosted, dense_topk, dense_filtered, dense_diversified, pinned_hits, valid_hits, eval_metrics, training_triples, order_neighbours, best_hits)}
 
 _T = "list_transform(regexp_extract_all(coalesce({}, ''), '([0-9a-zA-ZÀ-ỹĐđ/.-]+)', 1), lambda x: lower(x))"
 _BASE = f"""
-docs AS (SELECT id, min(title) AS title, min(document_number) AS document_number FROM legal_documents GROUP BY id),
+heads AS (SELECT id, min(title) AS title, min(document_number) AS document_number FROM legal_documents GROUP BY id),
+bodies AS (SELECT document_id, content_text FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY updated_at DESC NULLS LAST, content_text DESC NULLS LAST) AS nth FROM legal_document_contents) WHERE nth = 1),
+docs AS (SELECT h.*, b.content_text FROM heads h LEFT JOIN bodies b ON b.document_id = h.id),
 qs AS (SELECT citation_id, min(raw_text) AS raw_text FROM government_qna_citations WHERE citation_id % 20 = 0 GROUP BY citation_id),
-terms AS (SELECT id, unnest({_T.format("title")}) AS term, 2.0 AS w, 3.0 AS o FROM docs UNION ALL SELECT id, unnest({_T.format("document_number")}), 4.0, 1.0 FROM docs),
+terms AS (SELECT id, unnest({_T.format("title")}) AS term, 2.0 AS w, 1.0 AS o FROM docs UNION ALL SELECT id, unnest({_T.format("document_number")}), 4.0, 1.0 FROM docs UNION ALL SELECT id, unnest({_T.format("content_text")}), 1.0, 3.0 FROM docs),
 asked AS (SELECT citation_id, unnest({_T.format("raw_text")}) AS term FROM qs),
 post AS (SELECT id, term, sum(CAST(w AS DOUBLE)) AS tf FROM terms GROUP BY id, term),
 len AS (SELECT id, sum(tf) AS len FROM post GROUP BY id),
@@ -152,6 +167,7 @@ f AS (SELECT coalesce(a.citation_id, b.citation_id) AS citation_id, coalesce(a.i
  FROM a FULL JOIN b ON a.citation_id = b.citation_id AND a.id = b.id)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY citation_id ORDER BY score DESC, id) AS rank FROM f) WHERE rank <= {K}""",
     "dense_topk": f"WITH {_DENSE} SELECT query_id, vec_id, score, rank FROM near WHERE rank <= {K}",
+    "dense_filtered": f"WITH {_DENSE}, f AS (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM sims WHERE label % 2 = 0) SELECT * FROM f WHERE rank <= {K}",
     "dense_diversified": f"""WITH {_DENSE}, l AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY query_id, label ORDER BY rank) > 2 THEN 1 ELSE 0 END AS late FROM near WHERE rank <= 50)
 SELECT query_id, vec_id, label, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY late, rank) AS place FROM l) WHERE place <= {K}""",
     "pinned_hits": f"""WITH {_BASE}, k AS (SELECT {_ID} AS k, min(id) AS id FROM legal_documents WHERE trim({_ID}) <> '' GROUP BY 1),

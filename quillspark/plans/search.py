@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import blank_to_null, clean_scalar, first_filled, identifier
 from ..operators import graph, quality, relational
-from ..sources.tables import table
+from ..sources.tables import latest_texts, table
 
 COLUMNS = ["id", "title", "document_number", "document_type", "issuing_authority", "issued_date"]
 ALLOWED = {"document_type", "issuing_authority", "validity_status"}
@@ -99,7 +99,7 @@ def quality_issues(spark, folder):
 
 def bad_documents(spark, folder):
     docs = table(spark, folder, "legal_documents").select("id", "title").distinct()
-    texts = table(spark, folder, "legal_document_contents").groupBy(F.col("document_id").alias("id")).agg(F.max("content_text").alias("content_text"))
+    texts = latest_texts(spark, folder).withColumnRenamed("document_id", "id")
     return quality.bad_documents(docs.join(texts, "id", "left"), "id", F.col("title"), F.col("content_text"))
 
 
@@ -154,12 +154,12 @@ SELECT d.id, d.title, coalesce(t.n, 0) AS text_length, coalesce(e.n, 0) AS relat
 SELECT document_id FROM t WHERE strlen(coalesce(content_text, '')) <= 80
 UNION SELECT document_id FROM t WHERE strlen(content_text) >= 2000 AND document_id NOT IN (SELECT document_id FROM t WHERE regexp_matches(content_text, '(?m)^Điều [0-9]+'))
 UNION SELECT id FROM legal_documents WHERE length(title) > 200""",
-    "bad_documents": """WITH d AS (SELECT DISTINCT id, title FROM legal_documents), t AS (SELECT document_id, max(content_text) AS x FROM legal_document_contents GROUP BY document_id),
+    "bad_documents": """WITH d AS (SELECT DISTINCT id, title FROM legal_documents), t AS (SELECT document_id, content_text AS x FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY updated_at DESC NULLS LAST, content_text DESC NULLS LAST) AS nth FROM legal_document_contents) WHERE nth = 1),
 j AS (SELECT d.id, length(coalesce(d.title, '')) AS h, length(coalesce(t.x, '')) AS n FROM d LEFT JOIN t ON t.document_id = d.id)
 SELECT id, 'short_text' AS reason FROM j WHERE n < 80 UNION ALL SELECT id, 'short_title' FROM j WHERE h < 5""",
     "filled_fields": r"""SELECT DISTINCT id, coalesce(CASE WHEN trim(source) <> '' THEN trim(source) END, CASE WHEN trim(external_source) <> '' THEN trim(external_source) END) AS origin,
 CASE WHEN v NOT IN ('', '...', 'nan', 'NaN', 'None') THEN v END AS validity, CASE WHEN g NOT IN ('', '...', 'nan', 'NaN', 'None') THEN g END AS gazette
 FROM (SELECT *, trim(regexp_replace(replace(validity_status, chr(160), ' '), '[ \t\r\f]+', ' ', 'g')) AS v, trim(regexp_replace(replace(gazette_date_raw, chr(160), ' '), '[ \t\r\f]+', ' ', 'g')) AS g FROM legal_documents)""",
-    "crawl_gaps": """WITH i AS (SELECT DISTINCT id, id // 1000 AS lot FROM legal_documents), b AS (SELECT id, lot, id - row_number() OVER (PARTITION BY lot ORDER BY id) AS grp FROM i)
-SELECT min(id) AS first_id, max(id) AS last_id, count(*) AS n FROM b GROUP BY lot, grp""",
+    "crawl_gaps": """WITH i AS (SELECT DISTINCT id FROM legal_documents WHERE id IS NOT NULL), b AS (SELECT id, id - row_number() OVER (ORDER BY id) AS grp FROM i)
+SELECT min(id) AS first_id, max(id) AS last_id, count(*) AS n FROM b GROUP BY grp""",
 }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as c
 from ..functions.text import fold_accents, name_words, normalize_space
 from ..operators import chunks, citations, relational
-from ..sources.tables import table
+from ..sources.tables import latest_texts, table
 
 # Labels and their codes, rules and their words.
 VALIDITY = {"còn hiệu lực": "in_force", "hết hiệu lực toàn bộ": "expired", "hết hiệu lực một phần": "partly_expired", "chưa có hiệu lực": "not_yet", "ngưng hiệu lực": "suspended", "chưa xác định": "unknown"}
@@ -45,7 +45,7 @@ def cited_references(spark, folder):
 def reference_boosts(spark, folder):
     cites = table(spark, folder, "government_qna_citations").select("citation_id", "raw_text", F.col("matched_document_id").alias("id")).distinct()
     docs = table(spark, folder, "legal_documents").groupBy("id").agg(F.min("document_number").alias("document_number"))
-    texts = table(spark, folder, "legal_document_contents").groupBy(F.col("document_id").alias("id")).agg(F.max("content_text").alias("text"))
+    texts = latest_texts(spark, folder).select(F.col("document_id").alias("id"), F.col("content_text").alias("text"))
     return cites.join(docs, "id").join(texts, "id", "left").select("citation_id", "id", c.reference_boost(F.col("raw_text"), F.col("document_number"), F.col("text")).alias("boost"))
 
 
@@ -84,7 +84,8 @@ def article_occurrences(spark, folder):
 
 
 def _texts(spark, folder):
-    return table(spark, folder, "legal_document_contents").select("document_id", "content_text").distinct()
+    """The latest text of each document."""
+    return latest_texts(spark, folder)
 
 
 def structural_chunks(spark, folder):

@@ -29,8 +29,9 @@ def local_session(cpus: int | str = 8, memory: str = "8g", shuffle_partitions: i
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where neither the setting nor the context has one (local tests) a
-    temporary folder is made and registered.
+    Only where neither the setting nor the context has one, in a session whose
+    master is local, a temporary folder is made and registered; on a cluster
+    the executors would each write to their own disk, so that is an error.
     """
     known = spark.conf.get("spark.checkpoint.dir", None)
     if known:
@@ -38,6 +39,8 @@ def shared_folder(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     own = tempfile.mkdtemp(prefix="spark-quill-")
     spark.sparkContext.setCheckpointDir(f"file://{own}")
     return spark.sparkContext.getCheckpointDir() or f"file://{own}"

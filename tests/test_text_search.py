@@ -56,6 +56,41 @@ def test_bm25_over_texts(spark, small):
         assert all(abs(a - b) < 2e-6 for a, b in zip(sorted(got[q], reverse=True), sorted(scores, reverse=True)[: retrieval.K], strict=True))
 
 
+def test_only_documents_within_reach_are_scored(spark):
+    """Against all scores, with a word in every document, ties, and queries with fewer hits than k."""
+    import random
+
+    from quillspark.operators import retrieval as r
+
+    rng = random.Random(5)
+    words = ["va"] * 40 + [f"w{i}" for i in range(30)] * 2 + [f"r{i}" for i in range(60)]
+    docs = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 60))) + " va") for i in range(400)] + [(900 + i, "va va w1 r1") for i in range(20)]
+    asked = [(1, "va w1 r1 va"), (2, "r5 va"), (3, "va"), (4, "zz"), (5, "zz w2 r2 r3 w9"), (6, None)]
+    index = r.postings(spark.createDataFrame(docs, "id long, t string"), "id", {"t": 1.0})
+    got = defaultdict(list)
+    for x in r.bm25_top_k(index, spark.createDataFrame(asked, "q long, t string"), "id", "q", "t", 5).collect():
+        got[x.q].append((x.rank, x.id, x.score))
+    tf = {i: Counter(t.split()) for i, t in docs}
+    df, n = Counter(t for v in tf.values() for t in v), len(tf)
+    size = {i: sum(v.values()) for i, v in tf.items()}
+    mean = sum(size.values()) / n
+    for q, text in asked:
+        qf, scores = Counter((text or "").split()), []
+        for i, v in tf.items():
+            s = sum(f * math.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * v[t] * 2.5 / (v[t] + 1.5 * (0.25 + 0.75 * size[i] / mean)) for t, f in qf.items() if t in v)
+            if s > 0:
+                scores.append((-round(s, 6), i))
+        assert [(i, s) for _, i, s in sorted(got[q])] == [(i, -s) for s, i in sorted(scores)[:5]]
+
+
+def test_boost_lifts_what_is_named(spark, small):
+    rows = retrieval.hybrid_boosted(spark, small).collect()
+    plain = {(r.citation_id, r.id): r.score for r in retrieval.hybrid_fusion(spark, small).collect()}
+    assert rows and all(1 <= r.rank <= retrieval.K for r in rows)
+    shared = [(r.score, plain[r.citation_id, r.id]) for r in rows if (r.citation_id, r.id) in plain]
+    assert shared and all(a >= b - 1e-6 for a, b in shared) and any(a > b + 1 for a, b in shared)
+
+
 def test_words_of_the_text_alone(spark, tmp_path):
     save = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
     save("legal_documents", [(1, "Nghị định", "1/2020"), (2, "Thông tư", "2/2020")], "id long, title string, document_number string")
