@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .text import normalize_space
+from .text import name_words, normalize_space
 
 # Texts that stand for no value.
 NO_VALUE = ("", "...", "nan", "NaN", "None")
@@ -114,14 +118,12 @@ def bracket_references(text: Column) -> Column:
 # ---------------------------------------------------------------- HTML and URLs
 
 
-def html_text(html: Column) -> Column:
+def html_text(source: Column) -> Column:
     """Visible text of HTML: scripts and styles dropped, block tags as line ends, entities decoded, blank lines dropped."""
-    t = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>", " ")
+    t = F.regexp_replace(F.coalesce(source, F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>", " ")
     t = F.regexp_replace(t, r"(?i)<\s*/?(?:br|p|div|tr|td|th|li|h[1-6]|table|tbody|thead|section|article)\b[^>]*>", "\n")
     t = F.regexp_replace(t, r"<[^>]+>", " ")
-    for entity, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(entity), F.lit(sign))
-    return lines_text(t)
+    return lines_text(F.translate(unescaped(t), "\u00a0", " "))
 
 
 def html_escaped(text: Column) -> Column:
@@ -183,6 +185,98 @@ def code_of(label: Column, codes: dict[str, str], default: str) -> Column:
     return F.coalesce(F.try_element_at(table, F.lower(normalize_space(label))), F.lit(default))
 
 
+# Last lines that promise more, and the heading of what follows an answer.
+OPEN_LINES = ("và", "hoặc", "cũng có thể", "câu trả lời cũng có thể")
+SELF_CHECK = r"(?imU)^\s*(?:\*\*)?\s*Tự kiểm tra\s*(?:\*\*)?\s*:"
+
+
 def looks_complete(answer: Column) -> Column:
-    """True if an answer ends like a sentence, a quotation or a source."""
-    return F.coalesce(F.trim(answer).rlike(r"[.!?…:;)\]”\"]$"), F.lit(False))
+    """True if an answer of 20 signs or more ends like a sentence, a quotation or a source, and neither in dots nor in a word that promises more."""
+    t = F.regexp_replace(F.coalesce(answer, F.lit("")), r"(?U)^\s+|\s+$", "")
+    last_line = F.lower(F.trim(F.element_at(F.split(t, r"\n"), -1)))
+    return (F.length(t) >= 20) & ~t.rlike(r"(?:\.\.\.|[…,;:—-])$") & ~last_line.isin(*OPEN_LINES) & t.rlike(r"[.!?。！？)\]}”\"']$")
+
+
+def without_self_check(answer: Column) -> Column:
+    """An answer without the part that begins with the heading of a self-check."""
+    return F.rtrim(F.element_at(F.split(answer, SELF_CHECK, 2), 1))
+
+
+# ---------------------------------------------------------------- records
+
+
+@F.pandas_udf(T.StringType())
+def _unescaped(values: pd.Series) -> pd.Series:
+    return values.map(html.unescape, na_action="ignore")
+
+
+def unescaped(text: Column) -> Column:
+    """All named and numbered entities of HTML as their signs; texts without "&" stay in the JVM's hands."""
+    return F.when(F.contains(text, F.lit("&")), _unescaped(text)).otherwise(text)
+
+
+def citation_text(value: Column) -> Column:
+    """A cited phrase without entities, with single spaces and without punctuation at its ends; null gives an empty text."""
+    return F.regexp_replace(normalize_space(unescaped(F.coalesce(value, F.lit("")))), r"^[ ,.;:]+|[ ,.;:]+$", "")
+
+
+# Fixed value: where an answer begins: a body that "answers".
+ANSWER_MARKER = r"(?iU)\b(?:Bộ|Sở|Cục|Tổng cục|Ủy ban nhân dân|BHXH|Bảo hiểm xã hội)[^.\n]{0,120}trả lời"
+
+
+def question_and_answer(page: Column, marker: str = ANSWER_MARKER) -> tuple[Column, Column]:
+    """A page cut where the marker first stands: what is before it (all, if there is none) and the rest."""
+    tidy = lambda c: F.nullif(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""), F.lit(""))
+    first = F.regexp_instr(page, F.lit(marker))
+    return tidy(F.when(first > 0, F.substr(page, F.lit(1), first - 1)).otherwise(page)), tidy(F.when(first > 0, F.substr(page, first)))
+
+
+def token_share(wanted: Column, found: Column) -> Column:
+    """Share of the different words of one text that stand in the other; 0 where either has none."""
+    words = lambda c: F.array_distinct(F.array_compact(F.transform(F.split(name_words(F.coalesce(c, F.lit(""))), " "), lambda w: F.when(w != "", w))))
+    a, b = words(wanted), words(found)
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.size(a)).otherwise(F.lit(0.0))
+
+
+def context_header(fields: dict[str, Column]) -> Column:
+    """One line "label: value" for each field that is neither null nor empty."""
+    return F.concat_ws("\n", *[F.when(v.cast("string") != "", F.concat(F.lit(f"{label}: "), v.cast("string"))) for label, v in fields.items()])
+
+
+def url_slug(url: Column) -> Column:
+    """The last part of a URL's path without its number; null where there is none."""
+    path = F.regexp_replace(F.try_parse_url(url, F.lit("PATH")), r"/+$", "")
+    return F.nullif(F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"--\d+.*$", ""), F.lit(""))
+
+
+def allowed_host(url: Column, domains: list[str]) -> Column:
+    """True for safe URLs of a domain in the list or below it."""
+    host, ok = url_host(url), F.lit(False)
+    for d in domains:
+        ok = ok | (host == d) | F.endswith(host, F.lit(f".{d}"))
+    return F.coalesce(safe_url(url) & ok, F.lit(False))
+
+
+def number_suffix(identifier_: Column) -> Column:
+    """The number after the last colon of an id; null, so last in order, where there is none."""
+    return F.regexp_extract(identifier_, r":(\d+)$", 1).try_cast("int")
+
+
+# Fixed value: the name space of URLs for ids made from names.
+URL_NAMES = "6ba7b8119dad11d180b400c04fd430c8"
+
+
+def name_uuid(name: Column) -> Column:
+    """The version-5 UUID of a name in the name space of URLs: the same for the same name, whoever makes it."""
+    h = F.sha1(F.concat(F.unhex(F.lit(URL_NAMES)), F.encode(name, "utf-8")))
+    variant = F.substring(F.lit("89ab89ab89ab89ab"), 1, 16)
+    nibble = F.substr(variant, F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4 + 1, F.lit(1))
+    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(nibble, F.substring(h, 18, 3)), F.substring(h, 21, 12))
+
+
+def names_unit(text: Column, own: Column, kind: str, number: Column) -> Column:
+    """True if a chunk is or names a unit: its own number, the word with the number, or loosely "2." for clauses and "a)" for points."""
+    word, sign = {"article": ("điều ", None), "clause": ("khoản ", "."), "point": ("điểm ", ")")}[kind]
+    low, n = F.lower(F.coalesce(text, F.lit(""))), F.lower(number)
+    found = F.coalesce(F.lower(own) == n, F.lit(False)) | F.contains(low, F.concat(F.lit(word), n))
+    return found | F.contains(low, F.concat(n, F.lit(sign))) if sign else found

@@ -1,35 +1,39 @@
-"""Cutting legal texts into chunks along their structure, or into windows."""
+"""Cutting legal texts into chunks along their structure, or into windows.
+
+All boundaries of a text are found in one scan.  They become a table of spans:
+where each begins, how deep it stands and where the next one as deep begins.
+Chunks are rows of that table; pieces of long ones end at cut places found by
+binary search.
+"""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Headings from the widest level to the narrowest, starts of clauses and points, places to cut a window.
+# Headings from the widest level to the narrowest, beginnings of headings, clauses and points, and places to cut a window.
 LEVELS = ("Phần", "Chương", "Mục", "Tiểu mục", "Điều")
-HEADING = re.compile(r"^(Phần|Chương|Mục|Tiểu mục|Điều)\s+([IVXLCDM\d]+[A-ZĐ]?(?:[./-]\d+)*)\b[^\n]*", re.M)
-CLAUSE = re.compile(r"^(\d+)\.\s+", re.M)
-POINT = re.compile(r"^([a-zđ])\)\s+", re.M)
-CUTS = ("\nĐiều ", "\nChương ", "\nMục ", "\n", ". ", "; ")
+BOUNDARY = re.compile(r"^(?:(?P<level>Phần|Chương|Mục|Tiểu mục|Điều)\s+(?P<number>[IVXLCDM\d]+[A-ZĐ]?(?:[./-]\d+)*)\b[^\n]*|(?P<clause>\d+)\.\s+|(?P<point>[a-zđ])\)\s+)", re.M)
+CUT = re.compile(r"\n|[.;] ")
+
+ARTICLE, CLAUSE, POINT = 4, 5, 6
+
 
+class Spans(NamedTuple):
+    """Boundaries in order: begin, depth (0 to 4 headings, 5 clauses, 6 points), end, label and heading line."""
 
-@dataclass(frozen=True)
-class Piece:
-    begin: int
-    end: int
-    text: str
-    level: str = "window"
-    path: str = ""
-    article: str | None = None
-    clause: str | None = None
-    point: str | None = None
-    parent: str | None = None
+    begin: np.ndarray
+    depth: np.ndarray
+    end: np.ndarray
+    label: list[str]
+    line: list[str]
 
 
 def tidy(text: str) -> str:
@@ -37,67 +41,98 @@ def tidy(text: str) -> str:
     return "\n".join(x for x in lines if x)
 
 
-def windows(text: str, size: int, overlap: int) -> Iterator[tuple[int, int]]:
+def spans_of(text: str) -> Spans:
+    """The table of boundaries; a heading ends at the next heading, a clause also at a clause, a point also at a point."""
+    begin, depth, label, line = [], [], [], []
+    for m in BOUNDARY.finditer(text):
+        level = m["level"]
+        begin.append(m.start())
+        depth.append(LEVELS.index(level) if level else CLAUSE if m["clause"] else POINT)
+        label.append(m["number"] or m["clause"] or m["point"])
+        line.append(m[0].strip())
+    at, deep = np.array(begin, dtype=np.int64), np.array(depth, dtype=np.int64)
+    end = np.full(len(at), len(text), dtype=np.int64)
+    for reach in (ARTICLE, CLAUSE, POINT):
+        stops = np.append(at[deep <= reach], len(text))
+        own = deep == reach if reach > ARTICLE else deep <= ARTICLE
+        end[own] = stops[np.searchsorted(stops, at[own], side="right")]
+    return Spans(at, deep, end, label, line)
+
+
+def paths(spans: Spans) -> list[str]:
+    """Of each boundary the headings it stands under: of every level the last one, if no wider heading came after it."""
+    order = np.arange(len(spans.begin))
+    last = np.stack([np.maximum.accumulate(np.where(spans.depth == level, order, -1)) for level in range(len(LEVELS))]) if len(order) else np.zeros((len(LEVELS), 0), dtype=np.int64)
+    widest = np.maximum.accumulate(last, axis=0)
+    holds = (last == widest) & (last >= 0)
+    return [" > ".join(spans.line[j] for j, ok in zip(last[:, i], holds[:, i]) if ok) for i in order]
+
+
+def windows(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
     """Stretches of at most ``size`` signs, cut at the last good place in their second half; each starts before the end of the last and after its start."""
+    found = [(m.start(), m.end()) for m in CUT.finditer(text)]
+    starts, needs = (np.array([x[i] for x in found], dtype=np.int64) for i in (0, 1))
+    out: list[tuple[int, int]] = []
     begin = 0
-    while begin < len(text):
+    while text and (not out or out[-1][1] < len(text)):
         end = min(begin + size, len(text))
-        if end < len(text):
-            at = max(text.rfind(c, begin, end) for c in CUTS)
-            if at - begin > size // 2:
-                end = at + 1
-        yield begin, end
-        if end == len(text):
-            return
+        at = int(np.searchsorted(needs, end, side="right")) - 1
+        if end < len(text) and at >= 0 and starts[at] - begin > size // 2:
+            end = int(starts[at]) + 1
+        out.append((begin, end))
         begin = max(begin + 1, end - overlap)
+    return out
 
 
-def _windowed(text: str, offset: int, size: int, overlap: int, **attributes) -> Iterator[Piece]:
+def _rows(text: str, begin: int, end: int, size: int, overlap: int, attributes: tuple) -> Iterator[tuple]:
+    """One chunk row, or its windows where the text is longer than ``size``; ``begin`` is where the text stands."""
+    if len(text.strip()) <= size and attributes[0] != "window":
+        yield (begin, end, text.strip(), *attributes)
+        return
     for a, b in windows(text, size, overlap):
         if part := text[a:b].strip():
-            yield Piece(offset + a, offset + b, part, **attributes)
-
-
-def _parts(pattern: re.Pattern, text: str, begin: int, end: int) -> list[tuple[str, int, int]]:
-    found = list(pattern.finditer(text, begin, end))
-    return [(m[1], m.start(), n) for m, n in zip(found, [*(x.start() for x in found[1:]), end])]
-
-
-def structure(text: str, size: int = 1500, overlap: int = 200) -> list[Piece]:
-    """Chunks of one tidy text: an article with clauses or points is a parent and its parts are children; all else is cut into windows."""
-    heads = list(HEADING.finditer(text))
-    if not heads:
-        return list(_windowed(text, 0, size, overlap))
-    out: list[Piece] = []
-    stack: dict[str, str] = {}
-    for m, end in zip(heads, [*(h.start() for h in heads[1:]), len(text)]):
-        kind, begin = m[1], m.start()
-        stack = {k: v for k, v in stack.items() if LEVELS.index(k) < LEVELS.index(kind)} | {kind: m[0].strip()}
-        path = " > ".join(stack[k] for k in LEVELS if k in stack)
-        article = m[2] if kind == "Điều" else None
-        body = text[begin:end].strip()
-        children = []
-        if article:
-            for clause, a, b in _parts(CLAUSE, text, m.end(), end):
-                points = _parts(POINT, text, a, b)
-                children += [(clause, p, c, d) for p, c, d in points] or [(clause, None, a, b)]
-            children = children or [(None, p, a, b) for p, a, b in _parts(POINT, text, m.end(), end)]
-        if children:
-            parent = f"article:{article}:{begin}"
-            out.append(Piece(begin, end, body, "parent", path, article, parent=parent))
-            for clause, point, a, b in children:
-                part = text[a:b].strip()
-                part = part if part.startswith(m[0].strip()) else f"{m[0].strip()}\n{part}"
-                attributes = dict(level="child", path=path, article=article, clause=clause, point=point, parent=parent)
-                if len(part) <= size:
-                    out.append(Piece(a, b, part, **attributes))
-                else:
-                    out += _windowed(part, a, size, overlap, **attributes)
-        elif len(body) <= size:
-            out.append(Piece(begin, end, body, "section", path, article))
-        else:
-            out += _windowed(text[begin:end], begin, size, overlap, level="section", path=path, article=article)
-    return out
+            yield (begin + a, begin + b, part, *attributes)
+
+
+def structure(text: str, size: int = 1500, overlap: int = 200) -> Iterator[tuple]:
+    """Chunks of one tidy text, as rows of CHUNK without their index.
+
+    An article with clauses or points is a parent and its narrowest units are
+    children that begin with its heading; other sections are chunks of their
+    own, and a text without headings is cut into windows.
+    """
+    spans = spans_of(text)
+    heads = np.flatnonzero(spans.depth <= ARTICLE)
+    if not len(heads):
+        yield from _rows(text, 0, len(text), size, overlap, ("window", "", None, None, None, None))
+        return
+    path = paths(spans)
+    # boundaries under each heading stand between it and the next one
+    for i, upto in zip(heads, [*heads[1:], len(spans.begin)]):
+        begin, end = int(spans.begin[i]), int(spans.end[i])
+        article = spans.label[i] if spans.depth[i] == ARTICLE else None
+        under = np.arange(i + 1, upto) if article else np.zeros(0, dtype=np.int64)
+        clauses = under[spans.depth[under] == CLAUSE]
+        points = under[spans.depth[under] == POINT]
+        # points before the first clause belong to none and are left to the parent
+        owner = np.searchsorted(clauses, points) - 1
+        units = [(None, p) for p in points] if not len(clauses) else []
+        for k, c in enumerate(clauses):
+            units += [(c, p) for p in points[owner == k]] or [(c, None)]
+        if not units:
+            yield from _rows(text[begin:end], begin, end, size, overlap, ("section", path[i], article, None, None, None))
+            continue
+        parent = f"article:{article}:{begin}"
+        yield begin, end, text[begin:end].strip(), "parent", path[i], article, None, None, parent
+        for c, p in units:
+            at = c if p is None else p
+            a, b = int(spans.begin[at]), int(spans.end[at])
+            part = f"{spans.line[i]}\n{text[a:b].strip()}"
+            attributes = ("child", path[i], article, None if c is None else spans.label[c], None if p is None else spans.label[p], parent)
+            if len(part) <= size:
+                yield a, b, part, *attributes
+            else:
+                yield from _rows(part, a, b, size, overlap, attributes)
 
 
 CHUNK = "chunk_index int, begin_char long, end_char long, chunk_text string, level string, path string, article string, clause string, point string, parent_key string"
@@ -115,8 +150,8 @@ def chunk(texts: DataFrame, key: str, text: str, *, size: int = 1500, overlap: i
             out = []
             for k, t in zip(b["_key"], b["_text"]):
                 t = tidy(t)
-                for i, p in enumerate(structure(t, size, overlap) if structured else _windowed(t, 0, size, overlap)):
-                    out.append((k, i, p.begin, p.end, p.text, p.level, p.path, p.article, p.clause, p.point, p.parent))
+                rows = structure(t, size, overlap) if structured else _rows(t, 0, len(t), size, overlap, ("window", "", None, None, None, None))
+                out += [(k, i, *row) for i, row in enumerate(rows)]
             yield pd.DataFrame(out, columns=schema.names)
 
     return rows.mapInPandas(run, schema).withColumnRenamed("_key", key)

@@ -50,6 +50,50 @@ def latest(rows: DataFrame, keys: list[str], version: list[Column]) -> DataFrame
     return rows.groupBy(*keys).agg(best.alias("_r")).select(*keys, *[F.col(f"_r.{c}") for c in others])
 
 
+def page_with_total(rows: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
+    """One page of an order, with the number of all rows in ``total``."""
+    return page(rows, order, number, size).join(F.broadcast(rows.agg(F.count(F.lit(1)).alias("total"))))  # one row beside a page
+
+
+def haystack(rows: DataFrame, columns: list[str], asked: str) -> DataFrame:
+    """Rows one of whose columns, or their sequence, holds a text; case is ignored."""
+    return rows.where(F.contains(F.lower(F.concat_ws(" ", *columns)), F.lit(asked.strip().lower())))
+
+
+def cascade(tables: dict[str, tuple[DataFrame, list[str]]], gone: DataFrame, key: str) -> dict[str, DataFrame]:
+    """Tables without the rows that refer to a deleted key in any of their columns."""
+    ids = gone.select(F.col(key).alias("_gone")).where("_gone is not null").distinct()
+    out = {}
+    for name, (rows, columns) in tables.items():
+        for c in columns:
+            rows = rows.join(ids, F.col(c) == F.col("_gone"), "left_anti")
+        out[name] = rows
+    return out
+
+
+def title_hints(citations: DataFrame, documents: DataFrame, *, citation_key: str, hint: str, document_id: str, columns: list[str], least: int = 3) -> DataFrame:
+    """``<citation_key>, status, matched_id`` of hints that stand in a title (or another column) of documents, case ignored: MATCHED, AMBIGUOUS or UNRESOLVED.
+
+    A hint can only stand in texts that hold its rarest three signs, so hints
+    and texts meet by these, not each with each; hints below ``least`` signs
+    are unresolved.
+    """
+    hints = citations.select(F.col(citation_key), F.lower(F.trim(hint)).alias("_hint"))
+    texts = documents.select(F.col(document_id).alias("_d"), F.explode(F.array_distinct(F.array(*[F.lower(c) for c in columns]))).alias("_t")).where("length(_t) >= 3").distinct()
+    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substr(F.col(c), i, F.lit(3))))
+    asked = hints.where(F.length("_hint") >= max(3, least)).select("_hint").distinct()
+    signs = asked.select("_hint", F.explode(grams("_hint")).alias("_g"))
+    # titles of equal wording are looked at once
+    wordings = texts.groupBy("_t").agg(F.count(F.lit(1)).alias("_n"), F.min("_d").alias("_d"))
+    held = wordings.select("_t", F.explode(grams("_t")).alias("_g")).join(signs.select("_g").distinct(), "_g", "left_semi")
+    rare = signs.join(held.groupBy("_g").agg(F.count(F.lit(1)).alias("_held")), "_g", "left").groupBy("_hint").agg(F.min(F.struct(F.coalesce("_held", F.lit(0)).alias("h"), "_g")).alias("_r"))
+    met = rare.select("_hint", F.col("_r._g").alias("_g")).join(held, "_g").where(F.contains("_t", F.col("_hint"))).select("_hint", "_t")
+    found = met.join(texts, "_t").groupBy("_hint").agg(F.count_distinct("_d").alias("_n"), F.min("_d").alias("_d"))
+    out = hints.join(found, "_hint", "left")
+    status = F.when(F.col("_n") == 1, "MATCHED").when(F.col("_n") > 1, "AMBIGUOUS").otherwise("UNRESOLVED")
+    return out.select(citation_key, status.alias("status"), F.when(F.col("_n") == 1, F.col("_d")).alias("matched_id"))
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], version: list[Column]) -> DataFrame:
     """Old rows replaced by new ones of the same keys; of several new ones the latest counts."""
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(latest(new, keys, version))

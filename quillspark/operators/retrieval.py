@@ -188,6 +188,27 @@ def evaluation(expected: DataFrame, ranked: DataFrame, query_key: str, key: str,
     )
 
 
+def reference_evaluation(expected: DataFrame, ranked: DataFrame, query_key: str, k: int) -> DataFrame:
+    """One row: n and, over citations, recall, mrr, ndcg and hit by document and (``cited_``) by the units named.
+
+    ``expected`` has ``<query_key>, document_id, articles, clauses`` (arrays),
+    ``ranked`` chunks with ``rank, document_id, article, text``.  A chunk
+    matches if its document does and it is or names one of the articles, and
+    names one of the clauses, where any are given.
+    """
+    met = expected.join(ranked.select(query_key, "document_id", "rank", "article", F.lower("text").alias("_t")), [query_key, "document_id"], "left")
+    named = lambda word: lambda n: F.contains(F.col("_t"), F.concat(F.lit(word), n))
+    article = (F.size("articles") == 0) | F.exists("articles", lambda n: (F.lower("article") == n) | named("điều ")(n))
+    clause = (F.size("clauses") == 0) | F.exists("clauses", named("khoản ")) | F.exists("clauses", lambda n: F.contains(F.concat(F.lit("\n"), "_t"), F.concat(F.lit("\n"), n, F.lit("."))))
+    best = met.groupBy(query_key, "document_id").agg(F.min("rank").alias("doc"), F.min(F.when(article & clause, F.col("rank"))).alias("cited"))
+    out = []
+    for name, prefix in (("doc", ""), ("cited", "cited_")):
+        top = F.when(F.col(name) <= k, F.col(name))
+        measures = {"recall": F.col(name).isNotNull().cast("double"), "mrr": F.coalesce(1 / top, F.lit(0.0)), "ndcg": F.coalesce(1 / F.log2(top + 1), F.lit(0.0)), "hit": top.isNotNull().cast("double")}
+        out += [F.round(F.avg(v), 6).alias(f"{prefix}{m}") for m, v in measures.items()]
+    return best.agg(F.count(F.lit(1)).alias("n"), *out)
+
+
 def training_triples(ranked: DataFrame, relevant: DataFrame, query_key: str, key: str, positives: int = 3, negatives: int = 8) -> DataFrame:
     """``<query_key>, label, nth, <key>``: the first relevant and the first other hits of each query."""
     marked = ranked.join(relevant.select(query_key, key).distinct().withColumn("_rel", F.lit(1)), [query_key, key], "left").withColumn("label", F.coalesce("_rel", F.lit(0)))

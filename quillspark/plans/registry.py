@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import orphans, profiles, retrieval, search, texts
+from . import orphans, profiles, records, retrieval, search, texts
 
-MODULES = [retrieval, search, texts, profiles, orphans]
+MODULES = [retrieval, search, texts, profiles, records, orphans]
 FLAGSHIP = "bm25_topk"
 
 

@@ -6,12 +6,20 @@ from compare import by_sql, rows
 from quillspark.plans import registry
 
 
+#: Queries that SQL doesn't express, and where their results are tested.
+ELSEWHERE = {
+    "cited_references": "test_operators.test_references", "reference_boosts": "test_operators.test_references", "visible_html": "test_records.test_entities",
+    "structural_chunks": "test_units", "window_chunks": "test_units", "hydrated_chunks": "test_units", "answer_citations": "test_operators", "answer_checks": "test_answer_checks", "citation_readiness": "test_operators",
+    "hybrid_boosted": "test_text_search", "chunk_ids": "test_records", "article_eval": "test_records", "best_per_article": "test_records", "complete_answers": "test_records", "split_answers": "test_records", "cleaned_citations": "test_records", "named_clauses": "test_records",
+}
+
+
 @pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_query(spark, small, name):
     got = registry.queries()[name](spark, small).toPandas()
     sql = registry.oracle_sql().get(name)
     if sql is None:
-        assert len(got.columns)
+        assert name in ELSEWHERE and len(got)
         return
     want = by_sql(small, sql)
     assert sorted(got.columns) == sorted(want.columns)
