@@ -31,3 +31,18 @@ def test_word_of_another_script_needs_the_vocabulary(spark):
     words = lambda *w: spark.createDataFrame([(x,) for x in w], "word string")
     assert unify.plain_forms(df, ["k"], "v", words("xa")).first().plain_form == "хо"
     assert unify.plain_forms(df, ["k"], "v", words("xo")).first().plain_form == "xo"
+
+
+def test_dominant_script_of_a_token():
+    assert unify.repaired_token("СО") is None and unify.repaired_token("РОСА") is None and unify.repaired_token("сор") is None
+    assert unify.repaired_token("СО", "LATIN") == "CO"
+    assert unify.repaired_token("мaмa") == "мама" and unify.repaired_token("Мoсквa") == "Москва"
+    assert unify.repaired_token("Москва", "LATIN") is None and unify.repaired_token("kênh") is None
+    assert unify.repaired_token("ΤT-ΒHL") == "TT-BHL" and unify.repaired_token("ԚΗ15") == "QH15" and unify.repaired_token("QÐ") == "QĐ"
+
+
+def test_repair_into_the_script_of_the_token(spark):
+    rows = [(1, "мaмa kênh"), (2, "мама мыла раму"), (3, "пaпa kênh"), (4, "со мной мама"), (5, "СО kênh"), (6, "co kênh")]
+    got = {r.k: r.plain_form for r in unify.plain_forms(spark.createDataFrame(rows, "k long, v string"), ["k"], "v").collect()}
+    # 3 has no word to become; 4 is a word among words of its script
+    assert got == {1: "мама kênh", 2: "мама мыла раму", 3: "пaпa kênh", 4: "со мной мама", 5: "CO kênh", 6: "co kênh"}
