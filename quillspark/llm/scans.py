@@ -3,9 +3,12 @@
 Lines are cleared of page numbers and running headers, words broken over line
 ends are joined, and lines are put together into paragraphs.  Misread words are
 found against a vocabulary taken from the whole collection: a Levenshtein
-automaton of each rare word walks a trie of the common words, which gives every
-candidate within the distance; candidates that the known misreadings explain
-are ranked by the words next to them.
+automaton of each word walks tries of the words that are much more frequent,
+which gives every candidate within the distance; candidates that the known
+misreadings explain are ranked by the words next to them.  The vocabulary is cut
+into one trie for each first letter and length, and words go to the tries that
+their explained candidates can be in, so that no task or driver holds all of it.
+All thresholds are shares or fixed numbers: none moves with the collection.
 """
 
 from __future__ import annotations
@@ -17,23 +20,27 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut
 
-#: A word is common, and so in the vocabulary, if it is more than one in so many words: no more than so many words are common.
-COMMON_ONE_IN = 200_000
-LEAST_COMMON = 5
 #: How many times as frequent a word must be as what it may have been read as.
 DOMINANCE = 20
+#: How many times as frequent it must be for a reading to show by itself that a text was misread.
+SURE = 400
+#: Frequent words without candidates that all tasks pass over; a longer list saves work and changes nothing.
+PASSED_WORDS = 50_000
+#: Words that one task looks up in one trie.
+LOT = 5_000
 #: Chance that one sign is misread, or an accent changed, beside that of a word read rightly; and of any word beside another one.
 SIGN_CHANCE, ACCENT_CHANCE = 0.003, 0.001
 NEIGHBOUR_CHANCE, NEIGHBOUR_WEIGHT = 0.001, 5.0
 #: Documents that must share a running header before it is known where it stands once.
 HEADER_SUPPORT = 3
-#: A known header also stands in at least one in so many of the documents with headers, so no more than so many are known.
-MOST_HEADERS = 1000
+#: Rows of a table up to which it is sent to all tasks; a longer one is joined by shuffle.
+SENT_ROWS = 200_000
 MOST_EDITS = 2
 _FLUSH = 400_000
 #: Lines of text that a page has at least.
@@ -95,7 +102,7 @@ _HAS_DIGIT = re.compile(r"\d")
 
 
 def _may_head(line: str) -> bool:
-    if not 8 <= len(line) <= 100 or line[-1] in ".;:,":
+    if len(line) < 5 or line[-1] in ".;:,":
         return False
     digit = _HAS_DIGIT.search(line)
     if not digit and not line[1].isupper() and not line[2].isupper():
@@ -350,64 +357,140 @@ def _lines(text: str) -> list[str]:
     return [x for x in (x.strip(" \t\r\v") for x in text.replace("\f", "\n").split("\n")) if x]
 
 
+_COUNTED = "kind string, a string, b string, n long, h long"
+
+
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Neighbouring words (the last word of a text stands before "") and running headers with their numbers, added up per task."""
-    words, pairs, heads = _Words(), Counter(), Counter()
+    """Of different texts: neighbouring words (the last word of a text stands before "") and running headers with their numbers, added up per task, and lines that may be headers which stand once."""
+    words, pairs, heads, alone = _Words(), Counter(), Counter(), []
 
     def out() -> pd.DataFrame:
-        rows = [("pair", a, b, n) for (a, b), n in pairs.items()] + [("head", a, "", n) for a, n in heads.items()]
-        pairs.clear()
-        heads.clear()
-        return pd.DataFrame(rows, columns=["kind", "a", "b", "n"])
+        rows = [("pair", a, b, n, 0) for (a, b), n in pairs.items()] + [("head", a, "", n, 0) for a, n in heads.items()] + [("line", a, "", 1, h) for h, a in alone]
+        for x in (pairs, heads, alone):
+            x.clear()
+        return pd.DataFrame(rows, columns=["kind", "a", "b", "n", "h"])
 
     for batch in batches:
-        for text in batch["_text"]:
+        for h, text in zip(batch["_h"], batch["_text"]):
             seq = list(map(words.__getitem__, _BROKEN.sub(r"\1", text).split()))
             seq.append("")
             pairs.update(zip(seq, seq[1:]))
-            heads.update(set(headers_within(_lines(text)).values()))
+            lines = _lines(text)
+            own = headers_within(lines)
+            heads.update(set(own.values()))
+            alone += [(h, m) for m in {line_mask(x) for i, x in enumerate(lines) if i not in own and _may_head(x)}]
             if len(pairs) > _FLUSH:
                 yield out()
     yield out()
 
 
 def _asked(word: str) -> bool:
-    """True for words that may be misread ones: some letters, and neither a number nor a code."""
-    if not 2 <= len(word) <= 14 or "/" in word or "-" in word:
+    """True for words that may be misread ones.
+
+    A word of the vocabulary has letters only, so each other sign takes an
+    edit; no misreading makes a slash or a hyphen.  One sign alone tells nothing.
+    """
+    if len(word) < 2 or "/" in word or "-" in word:
         return False
     letters = sum(map(str.isalpha, word))
-    return letters >= 1 and len(word) - letters <= 2 and sum(map(str.isdigit, word)) <= 2
+    return letters >= 1 and len(word) - letters <= MOST_EDITS
 
 
-def _candidates(common: list[tuple[str, int]]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count = dict(common)
-        trie = trie_of(list(count))
-        for b in batches:
-            out = []
-            for word, n in zip(b["word"], b["n"]):
-                if not _asked(word):
-                    continue
-                for c in within(trie, word, MOST_EDITS if len(word) > 2 else 1):
-                    if count[c] >= DOMINANCE * n and (how := explained(word, c)):
-                        out.append((word, c, n, count[c], *how))
-            yield pd.DataFrame(out, columns=["word", "candidate", "n", "n_candidate", "signs", "accents"])
+def _routed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Words with the first letters (without accents) and lengths that words they were read from may have."""
+    for b in batches:
+        out = []
+        for word, n in zip(b["word"], b["n"]):
+            if _asked(word):
+                edits = MOST_EDITS if len(word) > 2 else 1
+                firsts = {_base(word[0])} | {_base(t[0]) for t, r in MISREAD if word.startswith(r)}
+                out += [(f, size, word, n) for f in firsts for size in range(max(1, len(word) - edits), len(word) + edits + 1)]
+        yield pd.DataFrame(out, columns=["first", "size", "word", "n"])
 
-    return run
 
+def _first_letters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield pd.DataFrame({"first": [_base(w[0]) for w in b["word"]], "size": b["word"].str.len(), "word": b["word"], "n": b["n"]})
+
+
+_CANDIDATE = ["word", "candidate", "n", "n_candidate", "signs", "accents"]
+
+
+def _looked_up(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+    """Explained candidates of the words of one lot in one trie."""
+    count = dict(zip(held["word"], held["n"]))
+    out = []
+    if count and len(asked):
+        trie, most = trie_of(list(count)), max(count.values())
+        for word, n in zip(asked["word"], asked["n"]):
+            if most < DOMINANCE * n:
+                continue
+            for c in within(trie, word, MOST_EDITS if len(word) > 2 else 1):
+                if count[c] >= DOMINANCE * n and (how := explained(word, c)):
+                    out.append((word, c, n, count[c], *how))
+    return pd.DataFrame(out, columns=_CANDIDATE)
 
-def _doubtful(safe: frozenset[str], known: frozenset[str]):
+
+def _candidates(words: DataFrame) -> DataFrame:
+    """``word, candidate, n, n_candidate, signs, accents``: the much more frequent words each word may have been read from."""
+    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    letters_only = words.where((F.col("n") >= DOMINANCE) & F.col("word").rlike(r"^\p{L}+$"))
+    held = letters_only.mapInPandas(_first_letters, "first string, size int, word string, n long")
+    asked = cut(words.where(F.length("word") > 1).mapInPandas(_routed, "first string, size int, word string, n long"))
+    lots = asked.groupBy("first", "size").agg(F.ceil(F.count(F.lit(1)) / LOT).cast("int").alias("_lots"))  # a row for each letter and length
+    asked = asked.join(F.broadcast(lots), ["first", "size"]).withColumn("_lot", F.pmod(F.xxhash64("word"), F.col("_lots")).cast("int"))
+    held = held.join(F.broadcast(lots), ["first", "size"]).withColumn("_lot", F.explode(F.sequence(F.lit(0), F.col("_lots") - 1)))
+    at = ["first", "size", "_lot"]
+    # a number of partitions is given, so that little data with much work isn't put into one task
+    asked, held = (x.select(*at, "word", "n").repartition(parts, *at) for x in (asked, held))
+    return asked.groupBy(*at).cogroup(held.groupBy(*at)).applyInPandas(_looked_up, "word string, candidate string, n long, n_candidate long, signs int, accents int")
+
+
+def _sent(rows: DataFrame) -> DataFrame:
+    """A table to be sent to all tasks if it is short, else to be joined as Spark sees fit."""
+    return F.broadcast(rows) if rows.count() <= SENT_ROWS else rows
+
+
+def _headers_alike(lines: DataFrame, heads: DataFrame) -> DataFrame:
+    """``h, mask``: the lines of texts that are known headers or differ from one by few signs.
+
+    A line within a fifth of a header's signs holds one of the header's rarest
+    three-sign sequences: of n sequences and d edits any 3 d + 1 will do.
+    """
+    known = heads.select(F.col("a").alias("known"))
+    masks = cut(lines.select("mask").distinct())
+    same = cut(masks.join(_sent(known), F.col("mask") == F.col("known"), "left_semi"))
+    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substr(F.col(c), i, F.lit(3))))
+    signs = cut(known.where("length(known) >= 3").select("known", F.explode(grams("known")).alias("g")))
+    # sequences that no header holds are left out before anything is moved
+    held = masks.join(_sent(same), "mask", "left_anti").where("length(mask) >= 3").select("mask", F.explode(grams("mask")).alias("g")).join(_sent(signs.select("g").distinct()), "g", "left_semi")
+    counted = signs.join(held.groupBy("g").agg(F.count(F.lit(1)).alias("c")), "g", "left")
+    rank = F.row_number().over(Window.partitionBy("known").orderBy(F.coalesce("c", F.lit(0)), "g"))  # the sequences of one header
+    edits = F.greatest(F.lit(2), F.floor(F.length("known") / 5))
+    rare = counted.withColumn("_rank", rank).where(F.col("_rank") <= 3 * edits + 1).where("c is not null")
+    size = F.abs(F.length("mask") - F.length("known")) <= edits
+    met = rare.join(held, "g").where(size).select("mask", "known").distinct()
+
+    @F.pandas_udf(T.BooleanType())
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([2 * len(_pairs_of(x) & _pairs_of(y)) >= len(_pairs_of(y)) and _alike(x, y) for x, y in zip(a, b)], dtype=bool)
+
+    near = met.where(alike("mask", "known")).select("mask")
+    return lines.join(_sent(cut(same.unionByName(near).distinct())), "mask", "left_semi")
+
+
+def _doubtful(passed: frozenset[str]):
     """Per text: kinds of layout noise, and the places of all words that may be misread, with their neighbours."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = _Words()
         for b in batches:
             out = []
-            for key, text in zip(b["_key"], b["_text"]):
-                tidy, places, pos = Tidy(text, known), [], 0
+            for key, text, known in zip(b["_key"], b["_text"], b["known"]):
+                tidy, places, pos = Tidy(text, frozenset() if known is None else frozenset(known)), [], 0
                 for p in tidy.paragraphs:
                     seq = list(map(words.__getitem__, p.split()))
-                    for i in [i for i, w in enumerate(seq) if w not in safe]:
+                    for i in [i for i, w in enumerate(seq) if w not in passed]:
                         w = seq[i]
                         if _asked(w):
                             places.append({"pos": pos + i, "before": seq[i - 1] if i else "", "word": w, "after": seq[i + 1] if i + 1 < len(seq) else ""})
@@ -429,26 +512,23 @@ def _cased(read: str, word: str) -> str:
     return word[:1].upper() + word[1:] if first.isupper() else word
 
 
-def _mended(known: frozenset[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for key, text, fixes in zip(b["_key"], b["_text"], b["fixes"]):
-                tidy = Tidy(text, known)
-                at = {f["pos"]: f["word"] for f in fixes} if fixes is not None else {}
-                pos, paragraphs = 0, []
-                for p in tidy.paragraphs:
-                    tokens = p.split()
-                    for i, t in enumerate(tokens):
-                        if pos + i in at:
-                            before, read, after = core(t)
-                            tokens[i] = before + _cased(read, at[pos + i]) + after
-                    pos += len(tokens)
-                    paragraphs.append(" ".join(tokens))
-                out.append((key, "\n".join(paragraphs), sorted(tidy.noise | ({"glyph"} if at else set()))))
-            yield pd.DataFrame(out, columns=["_key", "repaired", "noise"])
-
-    return run
+def _mended(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        out = []
+        for key, text, known, fixes in zip(b["_key"], b["_text"], b["known"], b["fixes"]):
+            tidy = Tidy(text, frozenset() if known is None else frozenset(known))
+            at = {f["pos"]: f["word"] for f in fixes} if fixes is not None else {}
+            pos, paragraphs = 0, []
+            for p in tidy.paragraphs:
+                tokens = p.split()
+                for i, t in enumerate(tokens):
+                    if pos + i in at:
+                        before, read, after = core(t)
+                        tokens[i] = before + _cased(read, at[pos + i]) + after
+                pos += len(tokens)
+                paragraphs.append(" ".join(tokens))
+            out.append((key, "\n".join(paragraphs), sorted(tidy.noise | ({"glyph"} if at else set()))))
+        yield pd.DataFrame(out, columns=["_key", "repaired", "noise"])
 
 
 class Scans:
@@ -468,35 +548,37 @@ class Scans:
         self._prepare()
 
     def _prepare(self) -> None:
-        counts = cut(self.rows.select("_text").mapInPandas(_counted, "kind string, a string, b string, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n")))
-        self.pairs = counts.where("kind = 'pair'").select("a", "b", "n")
-        words = self.pairs.where("a <> ''").groupBy(F.col("a").alias("word")).agg(F.sum("n").alias("n"))
-        words = cut(words)
+        hashed = self.rows.withColumn("_h", F.xxhash64("_text"))
+        # words and headers are counted over different texts, however many rows repeat one
+        again = cut(hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("_n"), F.min("_key").alias("_first")).where("_n > 1").select("_h", "_first"))
+        once = hashed.join(_sent(again), "_h", "left").where("_first is null or _key = _first").select("_h", "_text")
+        raw = cut(once.mapInPandas(_counted, _COUNTED))
+        self.pairs = cut(raw.where("kind = 'pair'").groupBy("a", "b").agg(F.sum("n").alias("n")))
+        words = cut(self.pairs.where("a <> ''").groupBy(F.col("a").alias("word")).agg(F.sum("n").alias("n")))
         self.total = words.agg(F.sum("n")).first()[0] or 0
-        least = max(LEAST_COMMON, self.total // COMMON_ONE_IN)
-        # fewer than COMMON_ONE_IN words can each be more than one in COMMON_ONE_IN; headers are bounded likewise
-        common = [(r[0], r[1]) for r in words.where((F.col("n") > least) & F.col("word").rlike(r"^\p{L}+$")).collect()]
-        heads = counts.where("kind = 'head'").select("a", "n")
-        support = max(HEADER_SUPPORT, (heads.agg(F.sum("n")).first()[0] or 0) // MOST_HEADERS)
-        self.known = frozenset(r[0] for r in heads.where(F.col("n") >= support).collect())
-        schema = "word string, candidate string, n long, n_candidate long, signs int, accents int"
-        self.candidates = cut(words.repartition(F.col("word")).mapInPandas(_candidates(common), schema))
-        # these lists are parts of the list of common words, so they are bounded as it is
-        self.doubted = sorted(r[0] for r in self.candidates.where((F.col("n") > least) & F.col("word").rlike(r"^\p{L}+$")).select("word").distinct().collect())
-        self.safe = frozenset(w for w, _ in common) - frozenset(self.doubted)
-        seen = self.rows.mapInPandas(_doubtful(self.safe, self.known), f"_key {self.kind}, kinds array<string>, places array<struct<pos:int,before:string,word:string,after:string>>")
+        heads = cut(raw.where("kind = 'head'").groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= HEADER_SUPPORT).select("a"))
+        lines = raw.where("kind = 'line'").select("h", F.col("a").alias("mask"))  # each once for each different text
+        self.heads = _sent(cut(_headers_alike(lines, heads).groupBy(F.col("h").alias("_h")).agg(F.collect_set("mask").alias("known"))))  # the lines of one text
+        found = cut(_candidates(words))
+        # what is surely a misreading itself is no candidate
+        misread = found.where(F.col("n_candidate") >= SURE * F.col("n")).select(F.col("word").alias("candidate")).distinct()
+        self.candidates = cut(found.join(misread, "candidate", "left_anti"))
+        frequent = words.join(self.candidates.select("word").distinct(), "word", "left_anti").orderBy(F.desc("n"), "word").limit(PASSED_WORDS)
+        passed = frozenset(r[0] for r in frequent.select("word").collect())  # at most PASSED_WORDS
+        self.texts = hashed.join(self.heads, "_h", "left").select("_key", "_text", "known")
+        seen = self.texts.mapInPandas(_doubtful(passed), f"_key {self.kind}, kinds array<string>, places array<struct<pos:int,before:string,word:string,after:string>>")
         self.seen = cut(seen)
 
     def fixes(self) -> DataFrame:
         """``_key, pos, word``: the words that are better read as another one, each at its place among the words of the text.
 
-        A common word is changed only in a text that has words misread into
-        uncommon ones too; alone, it is an unusual word in its place.
+        A word that is not rare beside what it may be is changed only in a text
+        that surely has misread words; alone, it is an unusual word in its place.
         """
         places = self.seen.select("_key", F.explode("places").alias("p")).select("_key", "p.*").distinct()
         keep = F.struct(F.col("word").alias("candidate"), F.col("n").alias("n_candidate"), F.lit(0).alias("signs"), F.lit(0).alias("accents"))
-        options = self.candidates.groupBy("word").agg(F.first("n").alias("n"), F.collect_list(F.struct("candidate", "n_candidate", "signs", "accents")).alias("o"))
-        options = options.select("word", F.explode(F.concat("o", F.array(keep))).alias("o")).select("word", "o.*")
+        options = self.candidates.groupBy("word").agg(F.first("n").alias("n"), F.max("n_candidate").alias("_most"), F.collect_list(F.struct("candidate", "n_candidate", "signs", "accents")).alias("o"))
+        options = options.select("word", (F.col("_most") >= SURE * F.col("n")).alias("_sure"), F.explode(F.concat("o", F.array(keep))).alias("o")).select("word", "_sure", "o.*")
         asked = places.join(options, "word")
         left = self.pairs.select(F.col("a").alias("before"), F.col("b").alias("candidate"), F.col("n").alias("n_left"))
         right = self.pairs.select(F.col("a").alias("candidate"), F.col("b").alias("after"), F.col("n").alias("n_right"))
@@ -507,9 +589,9 @@ class Scans:
         beside = lambda c: (F.greatest(F.coalesce(c, F.lit(0)) - self_count, F.lit(0)) + NEIGHBOUR_WEIGHT * NEIGHBOUR_CHANCE) / (n + NEIGHBOUR_WEIGHT)
         chance = F.log((n + 0.5) / F.lit(float(max(self.total, 1)))) + F.log(beside(F.col("n_left"))) + F.log(beside(F.col("n_right")))
         chance = chance + F.col("signs") * F.log(F.lit(SIGN_CHANCE)) + F.col("accents") * F.log(F.lit(ACCENT_CHANCE))
-        best = met.withColumn("_s", chance).groupBy("_key", "pos", "word").agg(F.max(F.struct("_s", "candidate")).alias("b"))
-        fixed = best.where("b.candidate <> word").withColumn("_uncommon", ~F.col("word").isin(*self.doubted) if self.doubted else F.lit(True))
-        misread = fixed.where("_uncommon").select("_key").distinct()
+        best = met.withColumn("_s", chance).groupBy("_key", "pos", "word").agg(F.max(F.struct("_s", "candidate")).alias("b"), F.max("_sure").alias("_sure"))
+        fixed = best.where("b.candidate <> word")
+        misread = fixed.where("_sure").select("_key").distinct()
         return fixed.join(misread, "_key", "left_semi").select("_key", "pos", F.col("b.candidate").alias("word"))
 
     def noise(self) -> DataFrame:
@@ -521,5 +603,5 @@ class Scans:
     def repaired(self) -> DataFrame:
         """``<key>, repaired, noise``: texts as one paragraph per line, and the kinds of noise they had."""
         fixes = self.fixes().groupBy("_key").agg(F.collect_list(F.struct("pos", "word")).alias("fixes"))  # of one text each
-        rows = self.rows.groupBy("_key").agg(F.max("_text").alias("_text")).join(fixes, "_key", "left")
-        return rows.mapInPandas(_mended(self.known), f"_key {self.kind}, repaired string, noise array<string>").withColumnRenamed("_key", self.key)
+        rows = self.texts.groupBy("_key").agg(F.max(F.struct("_text", "known")).alias("r")).select("_key", "r.*").join(fixes, "_key", "left")
+        return rows.mapInPandas(_mended, f"_key {self.kind}, repaired string, noise array<string>").withColumnRenamed("_key", self.key)

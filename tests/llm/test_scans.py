@@ -6,6 +6,8 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from quillspark.llm import scans
 
 
@@ -78,3 +80,48 @@ def test_odd_inputs(spark):
     assert {r.document_id: len(r.repaired.split()) for r in s.repaired().collect()} == {2: 0, 3: 60_000, 4: 0}
     empty = scans.Scans(spark.createDataFrame([], "document_id long, content_text string"), "document_id", "content_text")
     assert empty.noise().count() == 0 and empty.repaired().count() == 0
+
+
+def found(rows):
+    return {tuple(r) for r in scans.Scans(rows, "document_id", "content_text").noise().collect()}
+
+
+def test_unrelated_texts_and_copies_change_nothing(spark, medium):
+    """Thresholds don't move with the collection, and a text counts once however many rows hold it."""
+    rows = spark.read.parquet(f"{medium}/legal_document_contents.parquet").select("document_id", "content_text")
+    before = found(rows)
+    strange = spark.range(1500).select((F.col("id") + 10_000_000).alias("document_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(300)), lambda i: F.concat(F.lit("q"), F.translate(F.conv(F.pmod(F.xxhash64("id", i), F.lit(4000)), 10, 16), "0123456789", "ghjklmnprs"), F.lit("w")))).alias("content_text"))
+    assert found(rows.unionByName(strange)) == before
+    one = sorted(k for k, noise in before if noise == "glyph")[0]
+    text = rows.where(F.col("document_id") == one).first().content_text
+    copies = spark.createDataFrame([(20_000_000 + i, text) for i in range(200)], "document_id long, content_text string")
+    again = found(rows.unionByName(copies))
+    assert {x for x in again if x[0] < 20_000_000} == before
+    assert {x[1] for x in again if x[0] == 20_000_000} == {noise for k, noise in before if k == one} and len([x for x in again if x[0] > 20_000_000 - 1 and x[1] == "glyph"]) == 200
+
+
+def test_known_header_that_is_misread_where_it_stands_once(spark):
+    body = [f"dòng chữ thứ {'một hai ba bốn năm'.split()[i % 5]} của văn bản này" for i in range(12)]
+    head = "CÔNG BÁO/Số 12 + 13/Ngày 01-02-2003"
+    twice = "\n".join([head, *body, head, *body])
+    rows = [(i, twice.replace("chữ", "chữ" + "abcde"[i])) for i in range(3)] + [(10, "\n".join([head.replace("BÁO", "BẢO"), *body])), (11, "\n".join(["HỘI ĐỒNG NHÂN DÂN TỈNH", *body]))]
+    got = found(spark.createDataFrame(rows, "document_id long, content_text string"))
+    assert {k for k, noise in got if noise == "header"} == {0, 1, 2, 10}
+
+
+def test_candidates_against_brute_force(spark):
+    rng = random.Random(3)
+    true = ["".join(rng.choice("nhuclitmơđ") for _ in range(rng.randint(2, 9))) for _ in range(60)]
+    words = {w: rng.randint(20, 4000) for w in true}
+    for w in true:
+        for t, r in scans.MISREAD:
+            if t in w and rng.random() < 0.3:
+                words.setdefault(w.replace(t, r, 1), rng.randint(1, 30))
+    words["x" * 40] = 1
+    got = {(r.word, r.candidate): (r.signs, r.accents) for r in scans._candidates(spark.createDataFrame(list(words.items()), "word string, n long")).collect()}
+    want = {}
+    for w, n in words.items():
+        for c, m in words.items():
+            if scans._asked(w) and m >= 20 * max(n, 1) and c.isalpha() and w != c and distance(w, c) <= (2 if len(w) > 2 else 1) and (how := scans.explained(w, c)):
+                want[w, c] = how
+    assert got == want and want
