@@ -245,19 +245,18 @@ def match_citations(citations: DataFrame, documents: DataFrame) -> DataFrame:
     latest = documents.where("id is not null").groupBy(F.col("id").alias("did")).agg(F.max_by(attributes, F.struct(F.coalesce("updated_at", F.lit("0001-01-01").cast("timestamp")), F.coalesce("title", F.lit("")))).alias("r")).select("did", "r.*")
     docs = cut(_parsed(latest, parse_document, ["document_number", "title", "issuing_authority", "issued_date", "document_type"]).groupBy(*same).agg(F.min("did").alias("did")).select("did", *same))
     # of records alike in all attributes one is matched, so that many copies don't make many pairs
-    labelled, rest, found = cites.where("label is not null").select("cid", *same), None, []
-    asked = cites.where("label is null").groupBy("_alike").agg(F.min(F.struct("cid", *same)).alias("r"))
-    rest = cut(asked.select("r.*"))
+    found = []
+    # labelled records alike in all attributes count as often as they stand there
+    rest = cut(cites.groupBy("_alike").agg(F.min(F.struct("cid", *same)).alias("r")).select("_alike", "r.*"))
     for rule in RULES:
-        # labelled records stay in every pass: they measure the rule, not its place in the order
-        hits = cut(_applied(rule, rest.unionByName(labelled), docs))
+        # labelled records go as the others do: each rule is measured on what the rules before it left
+        hits = cut(_applied(rule, rest, docs))
         found.append(hits)
         rest = cut(rest.join(hits.select("cid"), "cid", "left_anti"))  # else each plan holds those of all passes before
     hits = found[0]
     for x in found[1:]:
         hits = hits.unionByName(x)
-    judged = hits.join(cites.select("cid", "label", "_alike"), "cid")
+    judged = cut(cites.select("cid", "label", "_alike").join(hits.join(cites.select("cid", "_alike"), "cid").drop("cid"), "_alike"))
     # as many rows as there are rules
     worth = judged.groupBy("rule").agg(((F.count(F.when(F.col("label") == F.col("did"), 1)) + 1) / (F.count("label") + 2)).alias("confidence"))
-    matched = judged.where("label is null").join(F.broadcast(worth), "rule").select("_alike", "did", "rule", "confidence")
-    return cites.where("label is null").select("cid", "_alike").join(matched, "_alike").select(F.col("cid").alias("citation_id"), F.col("did").alias("document_id"), "rule", "confidence")
+    return judged.where("label is null").join(F.broadcast(worth), "rule").select(F.col("cid").alias("citation_id"), F.col("did").alias("document_id"), "rule", "confidence")
