@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from ..session import cut
 
 BINS = 256
-TABLES = 22
+TABLES = 30
 BITS = 23
 #: Sketch values in a key beside its anchor: each cuts the meetings of unlike texts to a tenth or less.
 VALUES = 2
