@@ -31,10 +31,11 @@ def index_events(spark: SparkSession, stream: DataFrame, *, valid: Column, key:
     base = os.path.join(shared_folder(spark), f"stream-{uuid.uuid4().hex}")
 
     def each(batch: DataFrame, number: int) -> None:
-        marked = batch.withColumn("_ok", F.coalesce(valid, F.lit(False)))
+        marked = batch.withColumn("_ok", F.coalesce(valid, F.lit(False))).persist()  # of one batch, for both writers
         # one folder per batch, overwritten when the batch comes again
         marked.where("_ok").select(key, at, sequence, status.alias("status")).write.mode("overwrite").parquet(f"{base}/good/batch={number}")
         marked.where("not _ok").drop("_ok").write.mode("overwrite").parquet(f"{base}/bad/batch={number}")
+        marked.unpersist()
 
     run_available(stream, each, f"{base}/checkpoint")
     good = spark.read.parquet(f"{base}/good")
@@ -47,14 +48,19 @@ def windowed_counts(stream: DataFrame, at: str, width: str, late: str, by: str)
     return stream.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).groupBy(F.window(at, width).alias("w"), by).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), by, "n")
 
 
-def collected(spark: SparkSession, stream: DataFrame) -> DataFrame:
-    """The result of a finished aggregate over all available rows, as a table of files."""
+def collected(spark: SparkSession, stream: DataFrame, value: str = "n") -> DataFrame:
+    """The result of an aggregate over all available rows, as a table of files.
+
+    Each batch holds the groups it changed, so state that the watermark has
+    passed can be dropped; the last row of each group counts.  All columns but
+    ``value`` name the group.
+    """
     base = os.path.join(shared_folder(spark), f"stream-{uuid.uuid4().hex}")
 
     def each(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
 
-    query = stream.writeStream.outputMode("complete").foreachBatch(each).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    query = stream.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     rows = spark.read.parquet(f"{base}/out")
-    return rows.join(rows.agg(F.max("batch").alias("batch")), "batch", "left_semi").drop("batch")  # each batch holds all groups so far
+    return rows.groupBy(*[c for c in stream.columns if c != value]).agg(F.max_by(value, "batch").alias(value))
