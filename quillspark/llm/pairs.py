@@ -151,7 +151,9 @@ def _drawn(rows: DataFrame, by: str, text: str, most: int) -> DataFrame:
     low = F.pmod(F.xxhash64("_h"), F.lit(1 << 20)) < F.element_at(share, F.col(by)) * (1 << 20)
     nth = F.row_number().over(Window.partitionBy(by).orderBy(F.xxhash64("_h"), "_h"))
     chosen = each.where(low).withColumn("_n", nth).where(F.col("_n") <= most).select(by, "_h")
-    return hashed.join(F.broadcast(chosen), [by, "_h"], "left_semi").groupBy(by, "_h").agg(F.first(text).alias(text)).drop("_h")
+    # a number of partitions is given, so that a small sample with much work isn't put into one task
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return hashed.join(F.broadcast(chosen), [by, "_h"], "left_semi").repartition(parts, by, "_h").groupBy(by, "_h").agg(F.first(text).alias(text)).drop("_h")
 
 
 def train_languages(labelled: DataFrame, unlabelled: DataFrame | None = None, *, sample_rows: int = 2000, rounds: int = 2) -> Languages:
