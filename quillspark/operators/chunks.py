@@ -36,6 +36,20 @@ class Spans(NamedTuple):
     line: list[str]
 
 
+class Piece(NamedTuple):
+    """A row of CHUNK without its index."""
+
+    begin: int
+    end: int
+    text: str
+    level: str
+    path: str
+    article: str | None
+    clause: str | None
+    point: str | None
+    parent: str | None
+
+
 def tidy(text: str) -> str:
     lines = (re.sub(r"[ \t\r\f\v]+", " ", x).strip() for x in text.split("\n"))
     return "\n".join(x for x in lines if x)
@@ -94,13 +108,17 @@ def _rows(text: str, begin: int, end: int, size: int, overlap: int, attributes:
             yield (begin + a, begin + b, part, *attributes)
 
 
-def structure(text: str, size: int = 1500, overlap: int = 200) -> Iterator[tuple]:
-    """Chunks of one tidy text, as rows of CHUNK without their index.
+def structure(text: str, size: int = 1500, overlap: int = 200) -> list[Piece]:
+    """Chunks of one tidy text.
 
     An article with clauses or points is a parent and its narrowest units are
     children that begin with its heading; other sections are chunks of their
     own, and a text without headings is cut into windows.
     """
+    return [Piece(*row) for row in _structured(text, size, overlap)]
+
+
+def _structured(text: str, size: int, overlap: int) -> Iterator[tuple]:
     spans = spans_of(text)
     heads = np.flatnonzero(spans.depth <= ARTICLE)
     if not len(heads):
