@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as c
-from ..operators import graph, quality, relational, retrieval, units, versions
+from ..operators import graph, pages, quality, relational, retrieval, units, versions
 from ..session import cut, shared_folder
 from ..sources import files
 from ..sources.tables import latest_texts, table
@@ -217,6 +217,20 @@ def doc_headers(spark, folder):
     return table(spark, folder, "legal_documents").select("id", "updated_at", c.context_header({k: F.col(v) for k, v in HEADER.items()}).alias("header")).distinct()
 
 
+def _pages(spark, folder):
+    """The latest page of each document that has one."""
+    rows = table(spark, folder, "legal_document_contents").where("content_html <> ''")
+    return rows.groupBy("document_id").agg(F.max_by("content_html", F.struct("updated_at", "content_html")).alias("html"))
+
+
+def page_blocks(spark, folder):
+    return pages.page_blocks(_pages(spark, folder), "document_id", "html")
+
+
+def page_titles(spark, folder):
+    return _pages(spark, folder).select("document_id", pages.page(F.col("html")).title.alias("title"))
+
+
 def html_or_text(spark, folder):
     """HTML of a content, its text where there is none, and the text, that of the HTML where there is none."""
     h, t = F.nullif("content_html", F.lit("")), F.nullif("content_text", F.lit(""))
@@ -343,7 +357,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         doc_search_full, doc_haystack, doc_by_id, docs_until, answered_items, match_reason_audit, allowed_urls, version_metadata, doc_versions, related_both_ways, related_json, related_unpacked, relation_totals,
-        items_requeued, issue_counts, title_hint_matches, title_shares, citation_refs, legal_units, clause_texts, unit_profile, chunk_ids, chunks_replaced, article_eval, best_per_article, doc_headers, html_or_text,
+        items_requeued, issue_counts, title_hint_matches, title_shares, citation_refs, legal_units, clause_texts, unit_profile, chunk_ids, chunks_replaced, article_eval, best_per_article, doc_headers, page_blocks, page_titles, html_or_text,
         paragraphs, complete_answers, split_answers, cleaned_citations, item_times, named_clauses, bad_documents_csv, seed_list, quality_report, normalised_documents, audit_lines, cascade_deleted, items_replaced,
         scanned_sources, dead_letter_records, readiness_summary,
     )
@@ -354,6 +368,10 @@ _EDGES = "e AS (SELECT DISTINCT document_id, related_document_id, trim(relations
 _BOTH = f"""{_EDGES}, p AS (SELECT DISTINCT document_id AS a, related_document_id AS b FROM e),
 sides AS (SELECT a AS id, 'out' AS side, b AS other, row_number() OVER (PARTITION BY a ORDER BY b) AS nth FROM p UNION ALL SELECT b, 'in', a, row_number() OVER (PARTITION BY b ORDER BY a) FROM p),
 heads AS (SELECT id, document_number FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST) AS nth FROM legal_documents) WHERE nth = 1)"""
+_BLOCKS = r"""h AS (SELECT document_id, content_html FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY updated_at DESC NULLS LAST, content_html DESC) AS nth FROM legal_document_contents WHERE content_html <> '') WHERE nth = 1),
+e AS (SELECT document_id, regexp_extract_all(content_html, '(?s)<p(?:\s[^>]*)?>(.*?)</p>', 1) AS x FROM h), u AS (SELECT document_id, unnest(x) AS t, unnest(range(len(x))) AS i FROM e),
+t AS (SELECT document_id, i, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(t, '<[^>]*>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[\s\x{A0}]+', ' ', 'g')) AS text FROM u),
+b AS (SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY i) - 1 AS pos, text FROM t WHERE text <> '')"""
 _UNITS = rf"""{_LATEST}, l AS (SELECT document_id, unnest(string_split(content_text, chr(10))) AS line, unnest(range(len(string_split(content_text, chr(10))))) AS i FROM bodies WHERE content_text IS NOT NULL),
 h AS (SELECT *, regexp_extract(line, '^\s*[“"]?(?i:điều)\s+[0-9]+[a-zA-Z]?\.?(\s.*)?$', 1) AS rest FROM l),
 g AS (SELECT *, CASE WHEN rest <> '' THEN regexp_extract(rest, '^(?:\s+[^0-9\s].*?|\s+[0-9]+[^.0-9].*?)??\s+([0-9]+\.\s.*)$', 1) ELSE '' END AS tail FROM h),
@@ -420,6 +438,8 @@ SELECT min(n) AS fewest, median(n) AS median, round(avg(n), 2) AS mean, max(n) A
 SELECT document_id, count(*) AS chunks, sum(CASE WHEN document_id IN (SELECT id FROM legal_documents WHERE updated_at >= TIMESTAMP '2025-01-01' AND id IS NOT NULL) THEN n ELSE 0 END) AS n FROM k GROUP BY document_id""",
     "doc_headers": "SELECT DISTINCT id, updated_at, concat_ws(chr(10), " + ", ".join(f"CASE WHEN CAST({v} AS VARCHAR) <> '' THEN '{k}: ' || CAST({v} AS VARCHAR) END" for k, v in HEADER.items()) + ") AS header FROM legal_documents",
     "html_or_text": "SELECT DISTINCT document_id, length(coalesce(nullif(content_html, ''), nullif(content_text, ''), '')) AS html_length, length(coalesce(nullif(content_text, ''), nullif(content_html, ''), '')) AS text_length FROM legal_document_contents",
+    "page_blocks": f"WITH {_BLOCKS} SELECT document_id, pos, 'p' AS tag, text, NULL AS caption FROM b",
+    "page_titles": rf"WITH {_BLOCKS} SELECT h.document_id, arg_min(text, pos) AS title FROM h LEFT JOIN b ON b.document_id = h.document_id AND regexp_matches(text, '(?i)^(luật|bộ luật|nghị định|nghị quyết|quyết định|thông tư|pháp lệnh)([^\p{{L}}\p{{N}}_]|$)') GROUP BY h.document_id",
     "paragraphs": rf"""WITH {_LATEST}, l AS (SELECT document_id, list_filter(list_transform(string_split(content_text, chr(10)), lambda x: trim(regexp_replace(x, '[ \t\r\f\x0B]+', ' ', 'g'))), lambda x: x <> '') AS lines FROM bodies WHERE content_text IS NOT NULL)
 SELECT document_id, md5(CASE WHEN len(lines) = 0 THEN '<p></p>' ELSE array_to_string(list_transform(lines, lambda x: '<p>' || replace(replace(replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') || '</p>'), '') END) AS html_md5 FROM l""",
     "item_times": "SELECT DISTINCT qna_id, TRY_CAST(updated_at AS TIMESTAMP) AS at, TRY_CAST(regexp_extract(source_url, '([^/]*)$', 1) AS INTEGER) AS number FROM government_qna_items",
