@@ -153,9 +153,10 @@ def _parsed(rows: DataFrame, fn, columns: list[str]) -> DataFrame:
 class Rule:
     """One pass: records agree exactly on ``on``; titles share at least ``title`` of the citation's words.
 
-    ``blocked`` passes also join on one of the citation's rarest title words.
-    Of n words so many are used that a title with the needed share must hold
-    one of them, so that nothing is lost.  Other passes take a citation without
+    ``blocked`` passes also join on two of the citation's rarest title words.
+    Of n words so many are used that a title with the needed share, which is at
+    least half of four words or more, must hold two of them, so that nothing is
+    lost.  Other passes take a citation without
     title too; if ``lone``, only one that fits a single document.
     """
 
@@ -179,11 +180,18 @@ RULES = (
 
 
 def _prefix(cites: DataFrame, docs: DataFrame, share: float) -> DataFrame:
-    """``cid, word``: of each title with n words the n - ceil(share n) + 1 that the fewest document titles hold."""
+    """``cid, word``: of each title with n words the n - ceil(share n) + 2 that the fewest document titles hold."""
     held = docs.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("_held"))
     words = cites.select("cid", F.size("words").alias("_n"), F.explode("words").alias("word")).join(held, "word", "left")
     rank = F.row_number().over(Window.partitionBy("cid").orderBy(F.coalesce("_held", F.lit(0)), "word"))  # the words of one title
-    return words.withColumn("_rank", rank).where(F.col("_rank") <= F.col("_n") - F.ceil(F.lit(share) * F.col("_n")) + 1).select("cid", "word")
+    needed = F.ceil(F.lit(share) * F.col("_n") - 1e-9)
+    return words.withColumn("_rank", rank).where(F.col("_rank") <= F.col("_n") - needed + 2).select("cid", "word")
+
+
+def _word_pairs(rows: DataFrame, key: str, on: list[str]) -> DataFrame:
+    """``<key>, <on>, word, word_2``: every two words of one record, in the order of the alphabet."""
+    second = rows.select(F.col(key).alias("_of"), F.col("word").alias("word_2"))
+    return rows.join(second, (F.col(key) == F.col("_of")) & (F.col("word") < F.col("word_2"))).select(key, *on, "word", "word_2")
 
 
 def _applied(rule: Rule, cites: DataFrame, docs: DataFrame) -> DataFrame:
@@ -199,11 +207,13 @@ def _applied(rule: Rule, cites: DataFrame, docs: DataFrame) -> DataFrame:
     right_all = right.select("did", *(F.col(c).alias(f"d_{c}") for c in ("serial", "code", "body", "day", "words")))
     on = list(rule.on)
     if rule.blocked:
-        # the wide columns join the few pairs that share a rare word, not the rows for each word
+        # the wide columns join the few pairs that share two rare words, not the rows for each word
         titled = left.where(F.size("words") >= 4)
         asked = titled.select("cid", *on).join(_prefix(titled, docs, rule.title), "cid")
-        held = right.select("did", *on, F.explode("words").alias("word")).join(asked.select("word").distinct(), "word", "left_semi")
-        pairs = asked.join(held, [*on, "word"]).select("cid", "did").distinct().join(titled, "cid").join(right_all, "did")
+        # words that nobody asks for in a block are left out before pairs are made
+        held = right.select("did", *on, F.explode("words").alias("word")).join(asked.select(*on, "word").distinct(), [*on, "word"], "left_semi")
+        met = _word_pairs(asked, "cid", on).join(_word_pairs(held, "did", on), [*on, "word", "word_2"])
+        pairs = met.select("cid", "did").distinct().join(titled, "cid").join(right_all, "did")
     else:
         pairs = left.join(right.select("did", *on), on).join(right_all, "did")
     shared = F.size(F.array_intersect("words", "d_words")) / F.size("words")

@@ -44,3 +44,33 @@ def test_cascade(spark):
 
 def test_empty(spark):
     assert matched(spark, []) == {} and matched(spark, [(1, "Quyết định số 1/2007/QĐ-UBND", None, None, None)], []) == {}
+
+
+def test_title_rules_lose_nothing(spark):
+    """Each title rule against all pairs of its blocks, with few words, so that many are shared, and one very long title."""
+    import random
+
+    r = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(18)]
+    title = lambda: r.sample(vocabulary, r.randint(4, 14))
+    attributes = lambda words: (None, 2000 + r.randint(0, 1), None, r.choice("ab"), r.choice(["2001-01-01", "2001-01-02"]), r.choice(["QD", "TT", None]), words)
+    docs = [(i, *attributes(title())) for i in range(150)] + [(900, *attributes([f"v{i}" for i in range(800)] + vocabulary))]
+    cites = [(i, *attributes(r.sample(w := r.choice(docs)[7], max(4, len(w) - r.randint(0, 3))) if i % 2 else title())) for i in range(120)]
+    columns = "serial int, year int, code string, body string, day string, kind string, words array<string>"
+    a, b = spark.createDataFrame(cites, "cid long, " + columns), spark.createDataFrame(docs, "did long, " + columns)
+    place = {"year": 2, "body": 4, "day": 5, "kind": 6}
+    found = 0
+    for rule in [x for x in c.RULES if x.blocked]:
+        want = {}
+        for q in cites:
+            met = []
+            for d in docs:
+                share = len(set(q[7]) & set(d[7])) / len(q[7])
+                alike = all(q[place[o]] is not None and q[place[o]] == d[place[o]] for o in rule.on)
+                if alike and share >= rule.title and not (rule.numbers == "no body" and q[4] and d[4]):
+                    met.append((-share, -int(q[5] == d[5]), len(d[7]), d[0]))
+            if met:
+                want[q[0]] = min(met)[-1]
+        assert {x.cid: x.did for x in c._applied(rule, a, b).collect()} == want
+        found += len(want)
+    assert found > 20
