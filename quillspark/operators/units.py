@@ -31,24 +31,36 @@ def blocks(texts: DataFrame, key: str, text: str) -> DataFrame:
     return units.where("block <> ''").select(key, F.row_number().over(Window.partitionBy(key).orderBy("line", "part")).alias("pos"), "block")
 
 
-def units(rows: DataFrame, key: str) -> DataFrame:
-    """Blocks with ``kind`` (article, clause, point, annex, text), ``number``, and the ``article_pos, clause_pos, point_pos, annex_no`` they stand under.
-
-    An annex goes on to the end of its document or the next annex and holds no
-    articles.  Roman sections count as articles where one stands before the
-    first article.  Clauses begin anew in each article, points in each clause.
-    """
+def _in_articles(rows: DataFrame, key: str) -> DataFrame:
+    """Blocks with ``annex_no``, ``article_pos``, and the number ``_art`` where an article begins."""
     mark = lambda p: F.nullif(F.regexp_extract("block", p, 1), F.lit(""))
     doc = Window.partitionBy(key)
     so_far = doc.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    marked = rows.withColumns({"_annex": F.col("block").rlike(ANNEX), "_a": mark(ARTICLE), "_r": F.upper(mark(ROMAN)), "_c": mark(CLAUSE), "_p": F.lower(mark(POINT))})
+    marked = rows.withColumns({"_annex": F.col("block").rlike(ANNEX), "_a": mark(ARTICLE), "_r": F.upper(mark(ROMAN))})
     marked = marked.withColumn("annex_no", F.sum(F.col("_annex").cast("int")).over(so_far))
     free = F.col("annex_no") == 0
     first = lambda c: F.min(F.when(free & F.col(c).isNotNull(), F.col("pos"))).over(doc)
     roman = first("_r") < F.coalesce(first("_a"), F.lit(1 << 30))
     marked = marked.withColumn("_art", F.when(free, F.coalesce("_a", F.when(roman, F.col("_r")))))
+    carried = F.last(F.when(F.col("_art").isNotNull(), F.col("pos")), ignorenulls=True).over(so_far)
+    return marked.withColumn("article_pos", F.when(free, carried))
+
+
+def articles(rows: DataFrame, key: str) -> DataFrame:
+    """Blocks with ``article_pos`` and, at its beginning, the ``number`` of the article: what ``units`` gives, where no clauses and points are asked for."""
+    return _in_articles(rows, key).select(key, "pos", "block", F.col("_art").alias("number"), "article_pos")
+
+
+def units(rows: DataFrame, key: str) -> DataFrame:
+    """Blocks with ``kind`` (article, clause, point, annex, text), ``number``, and the ``article_pos, clause_pos, point_pos, annex_no`` they stand under.
+
+    An annex goes on to the end of its document or the next annex and holds no
+    articles.  Roman sections count as articles where one stands before the
+    first article.  Clauses begin anew in each article, points in each clause.
+    """
+    mark = lambda p: F.nullif(F.regexp_extract("block", p, 1), F.lit(""))
+    marked = _in_articles(rows.withColumns({"_c": mark(CLAUSE), "_p": F.lower(mark(POINT))}), key)
     carried = lambda c, w: F.last(F.when(c, F.col("pos")), ignorenulls=True).over(w)
-    marked = marked.withColumn("article_pos", F.when(free, carried(F.col("_art").isNotNull(), so_far)))
     in_article = Window.partitionBy(key, "article_pos").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     is_clause = F.col("article_pos").isNotNull() & F.col("_art").isNull() & F.col("_c").isNotNull()
     marked = marked.withColumn("clause_pos", F.when(F.col("article_pos").isNotNull(), carried(is_clause, in_article)))
