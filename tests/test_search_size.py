@@ -29,7 +29,7 @@ def written(spark) -> int:
     return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
 
 
-@pytest.mark.parametrize("query", [records.article_eval, records.best_per_article, retrieval.bm25_topk], ids=lambda f: f.__name__)
+@pytest.mark.parametrize("query", [records.article_eval, records.best_per_article, retrieval.bm25_topk, retrieval.hybrid_fusion], ids=lambda f: f.__name__)
 def test_shuffle_without_pairs(spark, alike, query):
     spark.conf.set("spark.sql.adaptive.enabled", "false")  # else small tables are put into one partition and not shuffled at all
     try:
