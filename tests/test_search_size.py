@@ -4,6 +4,10 @@ import datetime as dt
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from quillspark.functions.columns import reference_boost
+from quillspark.operators.retrieval import named_boosts
 from quillspark.plans import records, retrieval
 
 DOCS, QUESTIONS = 1500, 150
@@ -29,7 +33,7 @@ def written(spark) -> int:
     return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
 
 
-@pytest.mark.parametrize("query", [records.article_eval, records.best_per_article, retrieval.bm25_topk, retrieval.hybrid_fusion], ids=lambda f: f.__name__)
+@pytest.mark.parametrize("query", [records.article_eval, records.best_per_article, retrieval.bm25_topk, retrieval.hybrid_fusion, retrieval.hybrid_boosted], ids=lambda f: f.__name__)
 def test_shuffle_without_pairs(spark, alike, query):
     spark.conf.set("spark.sql.adaptive.enabled", "false")  # else small tables are put into one partition and not shuffled at all
     try:
@@ -38,3 +42,14 @@ def test_shuffle_without_pairs(spark, alike, query):
         assert written(spark) - before < 1 << 20
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_boosts_of_a_document_in_one_reading(spark):
+    """Against the boost of each pair."""
+    questions = spark.createDataFrame([(1, "Điều 2 khoản 1 điểm a Nghị định 12/2020/NĐ-CP"), (2, "khoản 3 Điều 9 số 7/2019/TT-BTC và 12/2020/NĐ-CP"), (3, "không"), (4, None)], "q long, t string")
+    docs = [(1, "12/2020/NĐ-CP", "Điều 2\nkhoản 1", "x"), (2, None, "theo 12/2020/nđ-cp, điểm a", "Điều 9"), (3, "7/2019/TT-BTC ", None, None), (4, "", "khoản 3", None)]
+    docs = spark.createDataFrame(docs, "id long, n string, body string, title string")
+    pairs = questions.select("q").crossJoin(docs.select("id"))
+    want = pairs.join(docs, "id").join(questions, "q").select("q", "id", reference_boost(F.col("t"), F.col("n"), F.col("body"), F.col("title")).alias("b"))
+    got = named_boosts(pairs, questions, docs, key="id", query_key="q", query_text="t", number="n", texts=["body", "title"])
+    assert {(r.q, r.id): r.boost for r in got.collect() if r.boost} == {(r.q, r.id): r.b for r in want.collect() if r.b}
