@@ -76,7 +76,9 @@ def title_hints(citations: DataFrame, documents: DataFrame, *, citation_key: str
 
     A hint can only stand in texts that hold its rarest three signs, so hints
     and texts meet by these, not each with each; hints below ``least`` signs
-    are unresolved.
+    are unresolved.  Tables that grow are joined by shuffle: folded titles are
+    small when compressed, so Spark would send them to all tasks, where they
+    are many times as large.
     """
     hints = citations.select(F.col(citation_key), F.lower(F.trim(hint)).alias("_hint"))
     texts = documents.select(F.col(document_id).alias("_d"), F.explode(F.array_distinct(F.array(*[F.lower(c) for c in columns]))).alias("_t")).where("length(_t) >= 3").distinct()
@@ -85,11 +87,12 @@ def title_hints(citations: DataFrame, documents: DataFrame, *, citation_key: str
     signs = asked.select("_hint", F.explode(grams("_hint")).alias("_g"))
     # titles of equal wording are looked at once
     wordings = texts.groupBy("_t").agg(F.count(F.lit(1)).alias("_n"), F.min("_d").alias("_d"))
-    held = wordings.select("_t", F.explode(grams("_t")).alias("_g")).join(signs.select("_g").distinct(), "_g", "left_semi")
-    rare = signs.join(held.groupBy("_g").agg(F.count(F.lit(1)).alias("_held")), "_g", "left").groupBy("_hint").agg(F.min(F.struct(F.coalesce("_held", F.lit(0)).alias("h"), "_g")).alias("_r"))
-    met = rare.select("_hint", F.col("_r._g").alias("_g")).join(held, "_g").where(F.contains("_t", F.col("_hint"))).select("_hint", "_t")
-    found = met.join(texts, "_t").groupBy("_hint").agg(F.count_distinct("_d").alias("_n"), F.min("_d").alias("_d"))
-    out = hints.join(found, "_hint", "left")
+    held = wordings.select("_t", F.explode(grams("_t")).alias("_g"))
+    rare = signs.join(held.groupBy("_g").agg(F.count(F.lit(1)).alias("_held")).hint("merge"), "_g", "left").groupBy("_hint").agg(F.min(F.struct(F.coalesce("_held", F.lit(0)).alias("h"), "_g")).alias("_r")).select("_hint", F.col("_r._g").alias("_g"))
+    # there are only so many groups of three signs: titles leave those that no hint is met by before the shuffle
+    met = rare.join(held.join(F.broadcast(rare.select("_g").distinct()), "_g", "left_semi").hint("merge"), "_g").where(F.contains("_t", F.col("_hint"))).select("_hint", "_t")
+    found = met.join(texts.hint("merge"), "_t").groupBy("_hint").agg(F.count_distinct("_d").alias("_n"), F.min("_d").alias("_d"))
+    out = hints.join(found.hint("merge"), "_hint", "left")
     status = F.when(F.col("_n") == 1, "MATCHED").when(F.col("_n") > 1, "AMBIGUOUS").otherwise("UNRESOLVED")
     return out.select(citation_key, status.alias("status"), F.when(F.col("_n") == 1, F.col("_d")).alias("matched_id"))
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions.columns import reference_boost
+from quillspark.operators import relational
 from quillspark.operators.retrieval import named_boosts
 from quillspark.plans import records, retrieval
 
@@ -53,3 +54,13 @@ def test_boosts_of_a_document_in_one_reading(spark):
     want = pairs.join(docs, "id").join(questions, "q").select("q", "id", reference_boost(F.col("t"), F.col("n"), F.col("body"), F.col("title")).alias("b"))
     got = named_boosts(pairs, questions, docs, key="id", query_key="q", query_text="t", number="n", texts=["body", "title"])
     assert {(r.q, r.id): r.boost for r in got.collect() if r.boost} == {(r.q, r.id): r.b for r in want.collect() if r.b}
+
+
+def test_titles_are_not_sent_to_all_tasks(spark):
+    """Titles of equal beginnings are small when compressed, however many there are."""
+    docs = spark.range(3000).selectExpr("id", "concat(repeat('quy định về ', 20), id) AS t", "'Luật' AS kind")
+    asked = spark.createDataFrame([(1, "quy định về 2999"), (2, "quy định về quy"), (3, "không có ở đâu")], "k long, h string")
+    out = relational.title_hints(asked, docs, citation_key="k", hint="h", document_id="id", columns=["t", "kind"])
+    assert {r.k: (r.status, r.matched_id) for r in out.collect()} == {1: ("MATCHED", 2999), 2: ("AMBIGUOUS", None), 3: ("UNRESOLVED", None)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("rightHint=(strategy=merge)") >= 4
