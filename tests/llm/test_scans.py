@@ -2,7 +2,9 @@
 
 import difflib
 import random
+from collections import Counter
 
+import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -125,3 +127,50 @@ def test_candidates_against_brute_force(spark):
             if scans._asked(w) and m >= 20 * max(n, 1) and c.isalpha() and w != c and distance(w, c) <= (2 if len(w) > 2 else 1) and (how := scans.explained(w, c)):
                 want[w, c] = how
     assert got == want and want
+
+
+def test_counted_in_one_reading(monkeypatch):
+    """Neighbours as plain counting has them, over several flushes; each line is looked at once."""
+    rng = random.Random(5)
+    texts = ["", " ... ", "a-\nb-\nc -\nd", "x ... y", "CÔNG BÁO/Số 1 + 2\nmột hai"] + ["".join(rng.choice("aĐđ-¬\n \t.…0A_²") for _ in range(rng.randint(0, 80))) for _ in range(300)]
+    looked, may_head = [], scans._may_head
+    monkeypatch.setattr(scans, "_may_head", lambda x: looked.append(x) or may_head(x))
+    monkeypatch.setattr(scans, "_AT_ONCE", 50, raising=False)
+    monkeypatch.setattr(scans, "_FLUSH", 100)
+    got = pd.concat(scans._counted(iter([pd.DataFrame({"_h": range(len(texts)), "_text": texts})])))
+    lines = [x for t in texts for x in scans._lines(t)]
+    assert sorted(looked) == sorted(lines)
+    want, once = Counter(), Counter()
+    for h, t in enumerate(texts):
+        seq = [*map(scans.word_of, scans.re.sub(r"([^\W\d_])[-‐‑¬\xad][ \t]*\n\s*(?=[^\W\d_A-ZĐÀ-Ỹ])", r"\1", t).split()), ""]
+        want.update(zip(seq, seq[1:]))
+        once.update({(h, scans.line_mask(x)) for x in scans._lines(t) if may_head(x)})
+    pairs = got[got.kind == "pair"]
+    assert pairs.groupby(["a", "b"]).n.sum().to_dict() == want
+    assert Counter(zip(got[got.kind == "line"].h, got[got.kind == "line"].a)) == once and not (got.kind == "head").any()
+
+
+def test_lines_of_no_headers_length_are_left_out(spark, monkeypatch):
+    rng = random.Random(7)
+    heads = ["công báo/số 0 + 0/ngày 0-0-0", "quyển số 0"]
+    masks = ["dòng chữ dài hơn mọi tiêu đề của công báo/số 0 + 0/ngày 0-0-0", "x" * 16, "công", *heads]
+    for h in heads * 30:
+        x = list(h)
+        for _ in range(rng.randint(1, 7)):
+            at = rng.randrange(len(x) + 1)
+            x[at : at + rng.randint(0, 1)] = rng.choice(["", "o", "ơ", "0"])
+        masks.append("".join(x))
+    written, cut = [], scans.cut
+    monkeypatch.setattr(scans, "cut", lambda df: written.append(cut(df)) or written[-1])
+    got = scans._headers_alike(spark.createDataFrame(list(enumerate(masks)), "h long, mask string"), spark.createDataFrame([(h,) for h in heads], "a string"))
+    alike = lambda m, h: 2 * len(scans._pairs_of(m) & scans._pairs_of(h)) >= len(scans._pairs_of(h)) and scans._alike(m, h)
+    assert {(r.h, r.mask) for r in got.collect()} == {(i, m) for i, m in enumerate(masks) if any(alike(m, h) for h in heads)}
+    assert {r.mask for r in written[0].collect()} == {m for m in masks if any(abs(len(m) - len(h)) <= max(2, len(h) // 5) for h in heads)} != set(masks)
+
+
+def test_places_are_weighed_once_for_noise(spark, small):
+    rows = spark.read.parquet(f"{small}/legal_document_contents.parquet")
+    s = scans.Scans(rows, "document_id", "content_text")
+    noise = s.noise()
+    assert noise._jdf.queryExecution().optimizedPlan().toString().count("Generate explode(places") == 1
+    assert {r.document_id for r in noise.where("noise = 'glyph'").collect()} == {r._key for r in s.fixes().collect()}
