@@ -196,13 +196,12 @@ def _articles(texts):
 
 def article_eval(spark, folder):
     """Search over articles against the articles and clauses that citations name: recall, reciprocal rank, gain and hits of the first ten."""
-    cites = table(spark, folder, "government_qna_citations").where("citation_id % 20 = 0 and matched_document_id is not null")
+    cites = table(spark, folder, "government_qna_citations").where("matched_document_id is not null")
     asked = cites.groupBy("citation_id").agg(F.min("raw_text").alias("raw_text"), F.min("matched_document_id").alias("document_id"), F.min("article_refs").alias("article_refs"), F.min("clause_refs").alias("clause_refs"))
     texts = latest_texts(spark, folder)
     index = retrieval.asked_index(retrieval.postings(_articles(texts), "chunk_id", {"article": 3.0, "text": 1.0}, ("document_id", "article")), asked, "chunk_id", "citation_id", "raw_text")
     # only hits in the document that is meant count, so texts are read again for these alone
-    ranked = retrieval.bm25_best(index, 50).join(index.rows.select("chunk_id", "document_id"), "chunk_id")
-    hits = cut(ranked.join(asked.select("citation_id", "document_id"), ["citation_id", "document_id"]).select("citation_id", "chunk_id", "rank", "document_id"))
+    hits = cut(retrieval.bm25_ranks(index, asked.select("citation_id", "document_id"), "document_id", 50).select("citation_id", "chunk_id", "rank", "document_id"))
     chunks = _articles(texts.join(hits.select("document_id").distinct(), "document_id", "left_semi"))
     return retrieval.reference_evaluation(asked.select("citation_id", "document_id", c.references(F.col("article_refs"), "article").alias("articles"), c.references(F.col("clause_refs"), "clause").alias("clauses")), hits.drop("document_id").join(chunks, "chunk_id"), "citation_id", 10)
 
