@@ -208,7 +208,7 @@ def article_eval(spark, folder):
 
 def best_per_article(spark, folder):
     """The best of a document's chunks that share an article number, over all questions."""
-    asked = table(spark, folder, "government_qna_citations").where("citation_id % 20 = 0").groupBy("citation_id").agg(F.min("raw_text").alias("raw_text"))
+    asked = table(spark, folder, "government_qna_citations").groupBy("citation_id").agg(F.min("raw_text").alias("raw_text"))
     index = retrieval.asked_index(retrieval.postings(_articles(latest_texts(spark, folder)), "chunk_id", {"text": 1.0}, ("document_id", "article")), asked, "chunk_id", "citation_id", "raw_text")
     ranked = retrieval.bm25_best(index, 40).join(index.rows.select("chunk_id", "document_id", "article"), "chunk_id")
     return retrieval.best_per_key(ranked.select("citation_id", "document_id", "article", "chunk_id", "score"), ["citation_id", "document_id", "article"], "score").select("citation_id", "document_id", "article", "score")

@@ -44,7 +44,7 @@ def brute(k):
     return out
 
 
-@pytest.fixture(params=[(16_384, 4096, 512), (50, 7, 512), (50, 1, 3)], ids=["one", "shared", "few columns"])
+@pytest.fixture(params=[(10_000, 4096, 512), (50, 7, 512), (50, 1, 3)], ids=["one", "shared", "few columns"])
 def index(spark, request, monkeypatch):
     """In one part for all questions, and in small parts and lots of questions."""
     for name, value in zip(("PART", "OWN", "COLUMNS"), request.param):
@@ -67,3 +67,8 @@ def test_ranks_of_wanted_groups(spark, index):
     wanted = {q: (q * 7) % 80 for q in QUESTIONS}
     got = {(r.q, r.d): (r["rank"], r.score) for r in retrieval.bm25_ranks(index, spark.createDataFrame(list(wanted.items()), "q long, g long"), "g", 9).collect()}
     assert got == {(q, d): x for (q, d), x in ranked.items() if int(d.split(":")[0]) // 5 == wanted[q]} and got
+
+
+def test_best_of_all_citations(spark, asked):
+    rows = {(r.citation_id, r.document_id, r.article) for r in records.best_per_article(spark, asked).collect()}
+    assert rows == {(1, 1, "2"), (7, 2, "1"), (19, 1, "1"), (20, 1, "1"), (23, 2, "1")}
